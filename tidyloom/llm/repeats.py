@@ -7,8 +7,8 @@ is exact and has three parts.
 1. Routing. The smallest hash of the short strings inside a window of ``length``
    bytes depends on the window's bytes alone, so equal windows meet under it.
    Neighbouring windows with the same smallest hash form a run; the runs cover
-   every window of a document once. Runs whose hash occurs once in the corpus
-   are done. Runs that equal another run to the byte (copies) are repeated as a
+   every window of a document once. Runs whose hash occurs at one place in the
+   corpus are done. Runs that equal another run to the byte (copies) are repeated as a
    whole and stand for each other from here on.
 2. Run-length index. The distinct runs that share a hash go to index batches of
    bounded size. A batch's Burrows-Wheeler transform is run-compressed and keeps
@@ -69,20 +69,24 @@ def window_minima(h: np.ndarray, width: int) -> np.ndarray:
     return h
 
 
-def runs_of(data: bytes, length: int) -> Iterator[tuple[int, int, int]]:
-    """(hash, first window, windows) of the runs of one document."""
+def runs_of(data: bytes, length: int) -> Iterator[tuple[int, int, int, bool]]:
+    """(hash, first window, windows, looped) of the runs of one document. A run is
+    looped if its hash comes from several places in it: it may repeat itself."""
     n = len(data) - length + 1
     if n < 1:
         return
     for at in range(0, n, 1 << 20):  # bounded pieces of long documents
         piece = np.frombuffer(data[at : at + (1 << 20) + length - 1], np.uint8)
-        least = window_minima(gram_hashes(piece), length - GRAM + 1)
+        grams, width = gram_hashes(piece), length - GRAM + 1
+        least = window_minima(grams, width)
         cuts = np.flatnonzero(least[1:] != least[:-1]) + 1
         starts = np.concatenate([[0], cuts])
         sizes = np.diff(np.concatenate([starts, [len(least)]]))
-        for value, start, size in zip(least[starts].view(np.int64).tolist(), starts.tolist(), sizes.tolist()):
-            for k in range(0, size, LONGEST_RUN):
-                yield value, at + start + k, min(LONGEST_RUN, size - k)
+        for value, start, size in zip(least[starts], starts.tolist(), sizes.tolist()):
+            for k in range(start, start + size, LONGEST_RUN):
+                windows = min(LONGEST_RUN, start + size - k)
+                looped = np.count_nonzero(grams[k : k + windows + width - 1] == value) > 1
+                yield int(value.view(np.int64)), at + k, windows, bool(looped)
 
 
 def _bytes(text: object) -> bytes:
@@ -96,15 +100,15 @@ def _content(data: bytes) -> int:
 
 
 def document_runs(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, content, hash, start, windows, same; ``same`` is a digest of the
-    run's bytes."""
+    """doc_id, content, hash, start, windows, looped, same; ``same`` is a digest
+    of the run's bytes."""
 
     def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("doc_id", "content", "hash", "start", "windows", "same")}
+            out: dict[str, list] = {c: [] for c in ("doc_id", "content", "hash", "start", "windows", "looped", "same")}
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 data = _bytes(text)
                 if len(data) < length:
@@ -113,9 +117,9 @@ def document_runs(docs: DataFrame, length: int) -> DataFrame:
                 content = _content(data)
                 out["doc_id"] += [doc_id] * len(found)
                 out["content"] += [content] * len(found)
-                for column, values in zip(("hash", "start", "windows"), zip(*found)):
+                for column, values in zip(("hash", "start", "windows", "looped"), zip(*found)):
                     out[column] += values
-                out["same"] += [digest(data[a : a + n + length - 1]) for _, a, n in found]
+                out["same"] += [digest(data[a : a + n + length - 1]) for _, a, n, _ in found]
                 if len(out["hash"]) > 100_000:
                     yield _frame(out)
                     out = {c: [] for c in out}
@@ -123,10 +127,10 @@ def document_runs(docs: DataFrame, length: int) -> DataFrame:
 
     def _frame(out: dict[str, list]) -> pd.DataFrame:
         frame = pd.DataFrame({**out, "same": np.array(out["same"], np.uint64).view(np.int64)})
-        return frame.astype({"content": "int64", "hash": "int64", "start": "int32", "windows": "int32"})
+        return frame.astype({"content": "int64", "hash": "int64", "start": "int32", "windows": "int32", "looped": "bool"})
 
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInPandas(rows, f"doc_id {kind}, content long, hash long, start int, windows int, same long")
+    return docs.select("doc_id", "text").mapInPandas(rows, f"doc_id {kind}, content long, hash long, start int, windows int, looped boolean, same long")
 
 
 class RunLengthIndex:
@@ -264,10 +268,10 @@ def marks(docs: DataFrame, length: int, batch_bytes: int) -> DataFrame:
     """doc_id, content, and the repeated window ranges [a, b) of each document."""
     runs = stash(document_runs(docs, length), "runs")
     distinct = stash(
-        runs.groupBy("hash", "same").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "content", "start", "windows")).alias("at")), "distinct"
+        runs.groupBy("hash", "same").agg(F.count(F.lit(1)).alias("n"), F.max("looped").alias("looped"), F.min(F.struct("doc_id", "content", "start", "windows")).alias("at")), "distinct"
     )
-    hashes = distinct.groupBy("hash").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum(F.col("at.windows") + F.lit(length)).alias("bytes"))
-    mixed = stash(distinct.join(hashes.where("kinds > 1"), "hash").select("hash", "same", "n", "at.*", "bytes"), "mixed")
+    hashes = distinct.groupBy("hash").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.max("looped").alias("any"), F.sum(F.col("at.windows") + F.lit(length)).alias("bytes"))
+    mixed = stash(distinct.join(hashes.where("kinds > 1 or any"), "hash").select("hash", "same", "n", "at.*", "bytes"), "mixed")
     whole = distinct.where("n > 1").select("hash", "same", F.lit(0).cast("long").alias("a"), F.col("at.windows").cast("long").alias("b"))
     total = mixed.agg(F.sum(F.col("windows") + F.lit(length))).first()[0] or 0
     found = whole
