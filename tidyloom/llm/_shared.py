@@ -55,6 +55,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_rows(docs: DataFrame, *columns: Column | str) -> DataFrame:
+    """Each row as one struct, ``row``, beside the columns an operator works on,
+    so that whatever else the rows hold can't clash with the operator's names.
+    ``select("row.*")`` brings them back."""
+    row = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+    return docs.select(row.alias("row"), *columns)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else; pure-ASCII texts take the fast built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

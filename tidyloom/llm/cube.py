@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidyloom.llm._shared import discard, stash
+from tidyloom.llm._shared import stash, whole_rows
 
 WEIGHTS = (5, 2, 1)
 EPSILON = 1e-9
@@ -157,7 +157,7 @@ def copies(rows: DataFrame, factor: Fraction = Fraction(3, 2), ceiling: int = 2,
     joined = rows.withColumnRenamed("source", "s").join(plan, F.col("s").eqNullSafe(F.col("source"))).drop("s")
     placed = joined.select("doc_id", "size", "source_no", "p", F.xxhash64("doc_id", "size", F.lit(seed)).alias("order"))
     schema = f"doc_id {doc_kind}, size long, source_no int, p double, order long"
-    decided, undecided, number, level, spent = [placed.where("p <= 0 or p >= 1")], placed.where("p > 0 and p < 1"), {k: r["n"] for k, r in enumerate(totals) if expected[k] % 1}, 0, []
+    decided, undecided, number, level = [placed.where("p <= 0 or p >= 1")], placed.where("p > 0 and p < 1"), {k: r["n"] for k, r in enumerate(totals) if expected[k] % 1}, 0
     while number:
         blocks = {k: max(1, -(-n // block)) for k, n in number.items()}
         counts = F.broadcast(spark.createDataFrame(sorted(blocks.items()), "source_no int, blocks long")) if len(blocks) <= 10_000 else spark.createDataFrame(sorted(blocks.items()), "source_no int, blocks long")
@@ -168,7 +168,6 @@ def copies(rows: DataFrame, factor: Fraction = Fraction(3, 2), ceiling: int = 2,
             .applyInPandas(_fly(seed, level), schema),
             f"flight{level}",
         )
-        spent.append(flown)
         decided.append(flown.where("p <= 0 or p >= 1"))
         undecided = flown.where("p > 0 and p < 1")
         number = {r["source_no"]: r["count"] for r in undecided.groupBy("source_no").count().collect()} if max(blocks.values()) > 1 else {}
@@ -189,17 +188,13 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, each as often as it is taken, columns as they came."""
     picked = stash(copies(sized(docs), **options), "picked")
-    key = [F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")]
-    lists = picked.groupBy(*key).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__copies"))
-    rows = docs.withColumn("__words", word_count(F.col("text"))).join(
-        lists, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
+    key = [F.col("doc_id").alias("id"), F.col("source").alias("from"), F.col("size").alias("words")]
+    lists = picked.groupBy(*key).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("copies"))
+    rows = whole_rows(docs, "doc_id", "source", word_count(F.col("text")).alias("size")).join(
+        lists, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("from")) & (F.col("size") == F.col("words"))
     )
-    single = rows.where(F.size("__copies") == 1).withColumn("__n", F.element_at("__copies", 1))
-    repeated = (
-        rows.where(F.size("__copies") > 1)
-        .withColumn("__row", F.row_number().over(Window.partitionBy("__id", "__source", "__size").orderBy("text")))
-        .withColumn("__n", F.element_at("__copies", F.col("__row")))
-        .drop("__row")
-    )
-    taken = single.unionByName(repeated).where("__n > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__n"))))
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
+    single = rows.where(F.size("copies") == 1).select("row", F.element_at("copies", 1).alias("n"))
+    place = F.row_number().over(Window.partitionBy("id", "from", "words").orderBy("row.text"))
+    repeated = rows.where(F.size("copies") > 1).withColumn("place", place).select("row", F.element_at("copies", F.col("place")).alias("n"))
+    taken = single.unionByName(repeated).where("n > 0")
+    return taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("n")))).select("row.*")

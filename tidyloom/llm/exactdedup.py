@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidyloom.llm._shared import ascii_lower, scratch_path, stash
+from tidyloom.llm._shared import ascii_lower, scratch_path, stash, whole_rows
 
 BROADCAST_ROWS = 200_000  # digests are 32 bytes: under 16 MB
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -111,14 +111,11 @@ def duplicate_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha25
 def drop_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     groups = stash(duplicate_groups(docs, **options).where("group_size > 1"), "groups")
-    keys = groups.groupBy(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__sha")).agg(
-        F.max("kept").alias("__kept"), (F.count(F.lit(1)) > 1).alias("__repeated")
+    keys = groups.groupBy(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("sha")).agg(
+        F.max("kept").alias("stays"), (F.count(F.lit(1)) > 1).alias("repeated")
     )
-    keys = stash(keys.where("not __kept or __repeated"), "dropped")
-    out = docs.withColumn("__key", sha256(normalised(F.col("text")))).join(
-        small(keys, keys.count()), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__sha")), "left_outer"
-    )
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    once = out.where("__sha is null").select(*columns)
-    repeated = out.where("__kept and __repeated").withColumn("__place", F.row_number().over(Window.partitionBy("__id", "__sha").orderBy("text")))
-    return once.unionByName(repeated.where("__place = 1").select(*columns))
+    keys = stash(keys.where("not stays or repeated"), "dropped")
+    rows = whole_rows(docs, "doc_id", sha256(normalised(F.col("text"))).alias("key"))
+    rows = rows.join(small(keys, keys.count()), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("sha")), "left_outer")
+    repeated = rows.where("stays and repeated").withColumn("place", F.row_number().over(Window.partitionBy("id", "sha").orderBy("row.text")))
+    return rows.where("sha is null").select("row.*").unionByName(repeated.where("place = 1").select("row.*"))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidyloom.llm._shared import discard, stash
+from tidyloom.llm._shared import discard, stash, whole_rows
 
 SEED = 42
 BROADCAST_ROWS = 500_000
@@ -219,19 +219,9 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """One document of each component stays, the one with the smallest doc_id
     (of repeated rows with that doc_id, the first by text); all columns stay."""
     groups = stash(near_duplicates(docs, **options), "components")
-    firsts = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    n = firsts.count()
-    if n == groups.count():
-        return docs
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    m = gone.count()
-    kept = docs.join(F.broadcast(gone) if m <= BROADCAST_ROWS else gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
-    repeated = groups.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__id")
-    repeated = stash(repeated, "repeated")
-    if not (r := repeated.count()):
-        return kept
-    many = F.broadcast(repeated) if r <= BROADCAST_ROWS else repeated
-    same = F.col("doc_id").eqNullSafe(F.col("__id"))
-    first = docs.join(many, same).join(firsts.withColumnRenamed("__id", "__first"), F.col("doc_id").eqNullSafe(F.col("__first")))
-    first = first.withColumn("__place", F.row_number().over(Window.partitionBy("__id").orderBy("text"))).where("__place = 1")
-    return kept.join(many, same, "left_anti").unionByName(first.select(*[F.col(f"`{c}`") for c in docs.columns]))
+    ids = groups.groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("first"))
+    marked = stash(ids.where("n > 1 or not first"), "marked")
+    n = marked.count()
+    rows = whole_rows(docs, "doc_id").join(F.broadcast(marked) if n <= BROADCAST_ROWS else marked, F.col("doc_id").eqNullSafe(F.col("id")), "left_outer")
+    repeated = rows.where("n > 1 and first").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("row.text")))
+    return rows.where("n is null").select("row.*").unionByName(repeated.where("place = 1").select("row.*"))
