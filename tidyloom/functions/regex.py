@@ -108,9 +108,9 @@ def java_replacement(replacement: str) -> str:
                     i += 1
                 continue
             escaped = {"n": "\n", "t": "\t", "r": "\r", "f": "\f", "v": "\v", "a": "\a", "\\": "\\\\"}.get(replacement[i + 1])
-            if escaped is None:
+            if escaped is None and replacement[i + 1].isalnum():
                 raise UnsupportedPattern(f"escape \\{replacement[i + 1]} in a replacement")
-            out.append(escaped)
+            out.append(escaped if escaped is not None else "\\\\" + ("\\$" if replacement[i + 1] == "$" else replacement[i + 1]))
             i += 2
         elif c in "$\\":
             out.append("\\" + c)
