@@ -53,6 +53,7 @@ NAMES = re.compile(
     r"footer|site-header|masthead|topbar|comments?|commentlist|disqus|respond|replies|share|sharing|social|related|recommended|subscribe|newsletter|signup|login|search|widget|pagination|pager|skip-link)(?=$|[\s_-])",
     re.I,
 )
+BODY_NAMES = re.compile(r"(?:^|\s)(?:article|article-body|article-content|entry-content|main-content|post-body|post-content|story-body)(?=$|\s)", re.I)
 ARTICLE, OPEN, CHROME = 0, 1, 2
 
 
@@ -103,7 +104,7 @@ def lines_of(page: str) -> list[tuple[int, str]]:
         if place != CHROME:
             if name in FURNITURE or (name == "header" and place != ARTICLE) or (m[3] and _is_furniture(name, m[3])):
                 inner = CHROME
-            elif name in CONTENT:
+            elif name in CONTENT or (m[3] and _is_content(m[3])):
                 inner = ARTICLE
         if name == "p" and stack and stack[-1][0] == "p":  # an open paragraph ends where the next begins
             place = stack.pop()[1]
@@ -129,6 +130,14 @@ def _is_furniture(name: str, attributes: str) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?=\s|$|=)", attributes))
 
 
+def _is_content(attributes: str) -> bool:
+    for m in ATTRIBUTE.finditer(attributes):
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if (key, value.lower()) in (("role", "main"), ("role", "article"), ("itemprop", "articlebody")) or key in ("class", "id") and BODY_NAMES.search(value):
+            return True
+    return False
+
+
 def shared_lines(own: Sequence[int], other: Sequence[int]) -> set[int]:
     """Indices of own that a longest common subsequence with other holds."""
     n, m = len(own), len(other)
