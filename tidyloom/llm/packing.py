@@ -18,6 +18,7 @@ Only doc_id and text are read, whatever other columns are called.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from tidyloom.llm._shared import TwoGenerationCache, discard, stash
 
 END_ID = 1
+MARKS = ".,;:!?*#%&$"
 
 
 class WordIds:
@@ -46,7 +48,16 @@ class WordIds:
         self.parts = TwoGenerationCache(self._encode, limit)
 
     def _encode(self, part: str) -> bytes:
-        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        """Upper case and marks at the end don't change how the rest is split
+        (marks are never in a word's token), so they don't need an own entry."""
+        if "<|" not in part and part and max(part) < "\u0100":
+            stem = part.rstrip(MARKS)
+            plain = stem.lower()
+            if plain and plain != part:
+                if plain[-1].isalpha() or stem == part:
+                    return self.parts[plain] + (self.parts[part[len(stem) :]] if stem != part else b"")
+        ids = self.tokenizer.encode(part, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, text: str) -> bytes:
         part = self.parts.__getitem__
