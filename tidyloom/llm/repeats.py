@@ -166,7 +166,8 @@ class RunLengthIndex:
         padded = np.concatenate([self.text, np.zeros(8, np.uint8)])
         key = np.zeros(n, np.uint64)
         for k in range(8):
-            key = (key << U(8)) | np.where(to_end >= k, padded[k : n + k], 0).astype(U)
+            key <<= U(8)
+            key |= np.where(to_end >= k, padded[k : n + k], 0).astype(U)
         text_no = np.where(to_end < 8, np.repeat(np.arange(1, len(sizes) + 1), sizes), 0)
         order = np.lexsort((text_no, key))
         rank = np.empty(n, np.int64)
@@ -175,7 +176,7 @@ class RunLengthIndex:
         open_ = order[self._shared(rank[order])]
         while len(open_):
             second = rank[np.minimum(open_ + width, n - 1)]
-            by = np.lexsort((second, rank[open_]))
+            by = np.argsort(rank[open_] * np.int64(n) + second)
             open_, second = open_[by], second[by]
             group = rank[open_]
             new_group = np.concatenate([[True], group[1:] != group[:-1]])
@@ -304,7 +305,7 @@ def _crowded(data: DataFrame, length: int) -> DataFrame:
     return windows.join(again, "window").select("hash", "same", "a", (F.col("a") + 1).alias("b"))
 
 
-def cut_repeats(docs: DataFrame, length: int = 400, batch_bytes: int = 2_000_000) -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = 400, batch_bytes: int = 1_000_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) and
     kept_sha256 of every row."""
     found = marks(docs, length, batch_bytes)
