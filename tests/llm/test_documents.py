@@ -34,6 +34,19 @@ def rows():
     return out
 
 
+def test_large_ids_beside_nulls(spark):
+    """Ids over 2**53 stay exact where others are null."""
+    big = 2**62 + 1
+    docs = documents(spark, [(big, "the one text", "a"), (None, "an other text", "a"), (big + 1, None, "a")])
+    pieces, words = tokencount.vocabulary(queries.PIECES), tokencount.vocabulary(queries.WORDS)
+    runs = [
+        exactdedup.duplicate_groups(docs), license.license_scan(docs), simhash.near_duplicates(docs), simhash.drop_near_duplicates(docs), cube.mix(docs), repeats.cut_repeats(docs),
+        tokencount.token_counts(docs, pieces), packing.pack_documents(docs, words), langid.identify(docs.withColumn("lang", F.lit("en")), pieces), exactdedup.drop_duplicates(docs),
+    ]
+    for r in runs:
+        assert {x.doc_id for x in r.select("doc_id").collect()} == {big, None, big + 1}
+
+
 def ascii_lower(t):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
 

@@ -25,8 +25,7 @@ import random
 from fractions import Fraction
 from itertools import product
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -123,13 +122,13 @@ def land(p: list[float], sizes: list[int]) -> list[float]:
 
 
 def _fly(seed: int, level: int):
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "order", "doc_id"], ascending=[False, True, True], kind="stable")  # small documents decide last
-        p, sizes = rows["p"].tolist(), rows["size"].tolist()
-        p = flight(p, sizes, random.Random(f"{seed}/{level}/{key[0]}/{key[1]}"))
-        if rows["blocks"].iat[0] == 1:
+    def one(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("size", "descending"), ("order", "ascending"), ("doc_id", "ascending")])  # small documents decide last
+        p, sizes = rows["p"].to_pylist(), rows["size"].to_pylist()
+        p = flight(p, sizes, random.Random(f"{seed}/{level}/{key[0].as_py()}/{key[1].as_py()}"))
+        if rows["blocks"][0].as_py() == 1:
             p = land(p, sizes)
-        return rows.assign(p=p)[["doc_id", "size", "source_no", "p", "order"]]
+        return pa.table({"doc_id": rows["doc_id"], "size": rows["size"], "source_no": rows["source_no"], "p": pa.array(p, pa.float64()), "order": rows["order"]})
 
     return one
 
@@ -165,7 +164,7 @@ def copies(rows: DataFrame, factor: Fraction = Fraction(3, 2), ceiling: int = 2,
             undecided.join(counts, "source_no")
             .withColumn("part", F.pmod(F.xxhash64("order", "doc_id", F.lit(level)), F.col("blocks")))
             .groupBy("source_no", "part")
-            .applyInPandas(_fly(seed, level), schema),
+            .applyInArrow(_fly(seed, level), schema),
             f"flight{level}",
         )
         decided.append(flown.where("p <= 0 or p >= 1"))

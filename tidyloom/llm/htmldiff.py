@@ -29,7 +29,7 @@ import re
 from collections.abc import Iterable, Iterator, Sequence
 from urllib.parse import urlsplit
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -182,17 +182,19 @@ def page_lines(pages: DataFrame) -> DataFrame:
     """page_id, url, host, path, places, lines, outside (digests of the lines
     outside articles); a narrow pass."""
 
-    def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    own = {"host": pa.string(), "path": pa.string(), "places": pa.list_(pa.int32()), "lines": pa.list_(pa.string()), "outside": pa.list_(pa.int64())}
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for page_id, url, page in zip(batch["page_id"], batch["url"], batch["html"]):
-                found = lines_of(page) if isinstance(page, str) else []
-                host, path = _address(url)
-                out.append((page_id, url, host, path, [p for p, _ in found], [t for _, t in found], [_digest(t) for p, t in found if p != ARTICLE]))
-            yield pd.DataFrame(out, columns=["page_id", "url", "host", "path", "places", "lines", "outside"])
-
-    kinds = dict(pages.dtypes)
-    return pages.select("page_id", "url", "html").mapInPandas(
+            for url, page in zip(batch["url"].to_pylist(), batch["html"].to_pylist()):
+                found = lines_of(page or "")
+                out.append((*_address(url), [p for p, _ in found], [t for _, t in found], [_digest(t) for p, t in found if p != ARTICLE]))
+            columns = {c: pa.array([r[i] for r in out], k) for i, (c, k) in enumerate(own.items())}
+            yield pa.RecordBatch.from_pydict({"page_id": batch["page_id"], "url": batch["url"]} | columns)
+
+    kinds = dict(pages.select("page_id", "url").dtypes)
+    return pages.select("page_id", "url", "html").mapInArrow(
         rows, f"page_id {kinds['page_id']}, url {kinds['url']}, host string, path string, places array<int>, lines array<string>, outside array<long>"
     )
 
@@ -223,7 +225,7 @@ def _article(places: list[int], lines: list[str], outside: list[int], neighbours
     return "\n".join(kept), len(gone)
 
 
-def main_text(pages: DataFrame, per_partition: int = 5_000) -> DataFrame:
+def main_text(pages: DataFrame, per_partition: int = 2_000) -> DataFrame:
     """page_id, url, text, n_chars and n_shared (lines outside the article that
     a neighbour shares) for every page."""
     spark = pages.sparkSession
@@ -237,20 +239,20 @@ def main_text(pages: DataFrame, per_partition: int = 5_000) -> DataFrame:
     after = {a["part"]: b["first"] for a, b in zip(fences, fences[1:])}
     shared = spark.sparkContext.broadcast((before, after))
 
-    def rows(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    def rows(key: tuple, group: pa.Table) -> pa.Table:
         before, after = shared.value
-        group = group.sort_values(order, kind="stable")
-        hosts = group["host"].tolist()
-        outside = [list(x) for x in group["outside"]]
-        first, last = before.get(key[0]), after.get(key[0])
+        group = group.sort_by([(c, "ascending") for c in order])
+        hosts, outside = group["host"].to_pylist(), group["outside"].to_pylist()
+        first, last = before.get(key[0].as_py()), after.get(key[0].as_py())
         hosts = [first["host"] if first else None, *hosts, last["host"] if last else None]
         outside = [first["outside"] if first else [], *outside, last["outside"] if last else []]
         out = []
-        for i, (page_id, url, places, texts) in enumerate(zip(group["page_id"], group["url"], group["places"], group["lines"]), 1):
+        for i, (places, texts) in enumerate(zip(group["places"].to_pylist(), group["lines"].to_pylist()), 1):
             near = [outside[j] for j in (i - 1, i + 1) if hosts[j] is not None and hosts[j] == hosts[i]]
-            text, n = _article(list(places), list(texts), outside[i], [list(x) for x in near])
-            out.append((page_id, url, text, len(text), n))
-        return pd.DataFrame(out, columns=["page_id", "url", "text", "n_chars", "n_shared"])
+            text, n = _article(places, texts, outside[i], near)
+            out.append((text, len(text), n))
+        columns = {c: pa.array([r[i] for r in out], k) for i, (c, k) in enumerate({"text": pa.string(), "n_chars": pa.int64(), "n_shared": pa.int64()}.items())}
+        return pa.table({"page_id": group["page_id"], "url": group["url"]} | columns)
 
-    kinds = dict(pages.dtypes)
-    return ranged.groupBy("part").applyInPandas(rows, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long, n_shared long")
+    kinds = dict(pages.select("page_id", "url").dtypes)
+    return ranged.groupBy("part").applyInArrow(rows, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long, n_shared long")

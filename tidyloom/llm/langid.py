@@ -26,6 +26,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -245,14 +246,14 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and score instead of other columns than doc_id."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: vocabulary times languages
 
-    def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            found = scorer.predict(batch["text"].tolist())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": [x for x, _ in found], "score": [s for _, s in found]})
+            found = scorer.predict(batch["text"].to_pylist())
+            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "lang_pred": pa.array([x for x, _ in found], pa.string()), "score": pa.array([s for _, s in found], pa.float64())})
 
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInPandas(rows, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, lang_pred string, score double")
 
 
 def fold(doc_id: Column) -> Column:
@@ -270,10 +271,10 @@ def keep_identified(docs: DataFrame, vocabulary: str, max_docs: int = 8_000) ->
     """docs without the rows whose language can't be told; all columns stay."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, vocabulary, max_docs))
 
-    def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value)
         for batch in batches:
-            found = scorer.predict(batch["text"].tolist())
-            yield batch[[x != UNDETERMINED for x, _ in found]]
+            found = scorer.predict(batch["text"].to_pylist())
+            yield batch.filter(pa.array([x != UNDETERMINED for x, _ in found], pa.bool_()))
 
-    return docs.mapInPandas(rows, docs.schema)
+    return docs.mapInArrow(rows, docs.schema)

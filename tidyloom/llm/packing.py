@@ -23,7 +23,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +38,7 @@ class WordIds:
     span a space or a line end, so a text's ids are those of its parts between
     them, and the parts, which come again and again, are looked up."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 700_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -76,19 +76,24 @@ def word_ids(path: str) -> WordIds:
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece; a narrow pass."""
 
-    def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end, step = word_ids(tokenizer_path), np.array([END_ID], dtype="<u4").tobytes(), 4 * capacity
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = (encode(text) if isinstance(text, str) else b"") + end
-                for piece, at in enumerate(range(0, len(ids), step)):
+            row, piece, start, length, crc = [], [], [], [], []
+            for i, text in enumerate(batch["text"].to_pylist()):
+                ids = encode(text or "") + end
+                for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
-                    out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    row.append(i)
+                    piece.append(k)
+                    start.append(at // 4)
+                    length.append(len(part) // 4)
+                    crc.append(zlib.crc32(part))
+            columns = {"piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())}
+            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"].take(pa.array(row, pa.int32())), **columns})
 
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInPandas(rows, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -140,22 +145,23 @@ _PACKED = "doc_id {kind}, piece int, start long, length long, ids_crc32 long, se
 
 
 def _pack_group(round_no: int, capacity: int):
-    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece", "start"], ascending=[False, True, True, True], kind="stable")
-        lengths = rows["length"].to_numpy(np.int64)
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        lengths = rows["length"].to_numpy().astype(np.int64)
         bins, offsets, count = best_fit_decreasing(lengths, capacity)
         certified = count == lower_bound(lengths, capacity)
         fill = np.bincount(bins, weights=lengths, minlength=count).astype(np.int64)
         settled = np.ones(count, bool) if certified else fill == capacity
         if count and fill.min() < capacity:
             settled[int(fill.argmin())] = False
-        return rows.assign(
-            sequence_id=(int(round_no) << 56) + (int(key[0]) << 32) + bins,
-            offset=offsets,
-            fill=fill[bins],
-            certified=certified,
-            settled=settled[bins],
-        )[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "fill", "certified", "settled"]]
+        added = {
+            "sequence_id": (int(round_no) << 56) + (key[0].as_py() << 32) + bins,
+            "offset": offsets,
+            "fill": fill[bins],
+            "certified": np.full(len(bins), certified),
+            "settled": settled[bins],
+        }
+        return pa.table({c: rows[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")} | {c: pa.array(v) for c, v in added.items()})
 
     return pack
 
@@ -173,7 +179,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, per_partition: int = 40_000, r
             open_rows.select("doc_id", "piece", "start", "length", "ids_crc32", F.pmod(F.monotonically_increasing_id(), F.lit(parts)).alias("part"))
             .repartition(max(2, parts), "part")
             .groupBy("part")
-            .applyInPandas(_pack_group(round_no, capacity), _PACKED.format(kind=kind)),
+            .applyInArrow(_pack_group(round_no, capacity), _PACKED.format(kind=kind)),
             f"packed{round_no}",
         )
         bins = packed.agg(F.count_distinct("sequence_id")).first()[0] if open_bins is not None else None

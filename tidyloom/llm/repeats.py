@@ -33,6 +33,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,34 +104,35 @@ def document_runs(docs: DataFrame, length: int) -> DataFrame:
     """doc_id, content, hash, start, windows, looped, same; ``same`` is a digest
     of the run's bytes."""
 
-    def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = {"content": pa.int64(), "hash": pa.int64(), "start": pa.int32(), "windows": pa.int32(), "looped": pa.bool_()}
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("doc_id", "content", "hash", "start", "windows", "looped", "same")}
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            at, same, out = [], [], {c: [] for c in kinds}
+            for i, text in enumerate(batch["text"].to_pylist()):
                 data = _bytes(text)
                 if len(data) < length:
                     continue
                 found = list(runs_of(data, length))
-                content = _content(data)
-                out["doc_id"] += [doc_id] * len(found)
-                out["content"] += [content] * len(found)
+                at += [i] * len(found)
+                out["content"] += [_content(data)] * len(found)
                 for column, values in zip(("hash", "start", "windows", "looped"), zip(*found)):
                     out[column] += values
-                out["same"] += [digest(data[a : a + n + length - 1]) for _, a, n, _ in found]
-                if len(out["hash"]) > 100_000:
-                    yield _frame(out)
-                    out = {c: [] for c in out}
-            yield _frame(out)
+                same += [digest(data[a : a + n + length - 1]) for _, a, n, _ in found]
+                if len(at) > 100_000:
+                    yield frame(batch, at, same, out)
+                    at, same, out = [], [], {c: [] for c in kinds}
+            yield frame(batch, at, same, out)
 
-    def _frame(out: dict[str, list]) -> pd.DataFrame:
-        frame = pd.DataFrame({**out, "same": np.array(out["same"], np.uint64).view(np.int64)})
-        return frame.astype({"content": "int64", "hash": "int64", "start": "int32", "windows": "int32", "looped": "bool"})
+    def frame(batch: pa.RecordBatch, at: list[int], same: list[int], out: dict[str, list]) -> pa.RecordBatch:
+        columns = {c: pa.array(out[c], k) for c, k in kinds.items()} | {"same": pa.array(np.array(same, np.uint64).view(np.int64))}
+        return pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"].take(pa.array(at, pa.int32()))} | columns)
 
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInPandas(rows, f"doc_id {kind}, content long, hash long, start int, windows int, looped boolean, same long")
+    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, content long, hash long, start int, windows int, looped boolean, same long")
 
 
 class RunLengthIndex:
@@ -250,17 +252,21 @@ def _index_batch(length: int):
     return one
 
 
-def run_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """hash, same, data of the wanted runs (doc_id, content, hash, same, start, windows)."""
-    lists = wanted.groupBy(F.col("doc_id").alias("__id"), F.col("content").alias("__content")).agg(F.collect_list(F.struct("hash", "same", "start", "windows")).alias("__runs"))
+def with_content(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a digest of the text, which tells rows with one doc_id apart."""
 
-    def content(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.assign(__content=[_content(_bytes(t)) for t in batch["text"]])
+            yield batch.append_column("content", pa.array([_content(_bytes(t)) for t in batch["text"].to_pylist()], pa.int64()))
 
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
-    keyed = docs.select("doc_id", "text").mapInPandas(content, f"doc_id {kind}, text string, __content long").withColumnRenamed("__content", "content")
-    joined = keyed.join(lists, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("content") == F.col("__content")))
+    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, text string, content long")
+
+
+def run_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """hash, same, data of the wanted runs (doc_id, content, hash, same, start, windows)."""
+    lists = wanted.groupBy(F.col("doc_id").alias("__id"), F.col("content").alias("__content")).agg(F.collect_list(F.struct("hash", "same", "start", "windows")).alias("__runs"))
+    joined = with_content(docs).join(lists, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("content") == F.col("__content")))
     cut = joined.select(F.col("text").cast("binary").alias("data"), F.explode("__runs").alias("r"))
     return cut.select("r.hash", "r.same", F.expr(f"substring(data, r.start + 1, r.windows + {length - 1})").alias("data")).dropDuplicates(["hash", "same"])
 
@@ -311,21 +317,16 @@ def cut_repeats(docs: DataFrame, length: int = 400, batch_bytes: int = 1_000_000
     found = marks(docs, length, batch_bytes)
     lists = found.groupBy(F.col("doc_id").alias("__id"), F.col("content").alias("__content")).agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
 
-    def content(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(content=[_content(_bytes(t)) for t in batch["text"]])
-
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
-    keyed = docs.select("doc_id", "text").mapInPandas(content, f"doc_id {kind}, text string, content long")
-    joined = keyed.join(lists, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("content") == F.col("__content")), "left_outer")
+    joined = with_content(docs).join(lists, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("content") == F.col("__content")), "left_outer")
 
-    def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text, ranges in zip(batch["doc_id"], batch["text"], batch["ranges"]):
+            for text, ranges in zip(batch["text"].to_pylist(), batch["ranges"].to_pylist()):
                 data = _bytes(text)
                 spans: list[list[int]] = []
-                for a, b in sorted((r["a"], r["b"] - 1 + length) for r in ranges) if ranges is not None else ():
+                for a, b in sorted((r["a"], r["b"] - 1 + length) for r in ranges or ()):
                     if spans and a <= spans[-1][1]:
                         spans[-1][1] = max(spans[-1][1], b)
                     else:
@@ -335,7 +336,8 @@ def cut_repeats(docs: DataFrame, length: int = 400, batch_bytes: int = 1_000_000
                     kept.append(data[at:a])
                     at = b
                 kept = b"".join([*kept, data[at:]])
-                out.append((doc_id, len(data), len(data) - len(kept), len(spans), kept, hashlib.sha256(kept).hexdigest()))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+                out.append((len(data), len(data) - len(kept), len(spans), kept, hashlib.sha256(kept).hexdigest()))
+            kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary(), "kept_sha256": pa.string()}
+            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"]} | {c: pa.array([r[i] for r in out], k) for i, (c, k) in enumerate(kinds.items())})
 
-    return joined.select("doc_id", "text", "ranges").mapInPandas(rows, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return joined.select("doc_id", "text", "ranges").mapInArrow(rows, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")

@@ -27,6 +27,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -65,12 +66,12 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": [fingerprint(t, width) for t in batch["text"]]})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "fp": pa.array([fingerprint(t, width) for t in batch["text"].to_pylist()], pa.int64())})
 
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInPandas(rows, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, fp long")
 
 
 def low(fp: Column) -> Column:

@@ -28,7 +28,7 @@ from collections.abc import Iterable, Iterator
 from functools import reduce
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidyloom.llm._shared import TwoGenerationCache
@@ -213,22 +213,22 @@ def transducer(path: str) -> PieceTransducer:
 def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row; one narrow pass, no shuffle."""
 
-    def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(model_path)
         for batch in batches:
-            texts = [x if isinstance(x, str) else "" for x in batch["text"]]
+            texts = [x or "" for x in batch["text"].to_pylist()]
             tokens = [t.count(x) for x in texts]
-            yield pd.DataFrame(
+            yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch["doc_id"],
-                    "n_bytes": [len(x) if x.isascii() else len(x.encode("utf-8", "surrogatepass")) for x in texts],
-                    "n_tokens": tokens,
-                    "over_limit": [n > limit for n in tokens],
+                    "n_bytes": pa.array([len(x) if x.isascii() else len(x.encode("utf-8", "surrogatepass")) for x in texts], pa.int64()),
+                    "n_tokens": pa.array(tokens, pa.int64()),
+                    "over_limit": pa.array([n > limit for n in tokens], pa.bool_()),
                 }
             )
 
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInPandas(rows, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def vocabulary(name: str) -> str:
