@@ -1,4 +1,5 @@
-"""Correction rules: four kinds of change behind a guard, as Columns."""
+"""Correction rules: four kinds of change behind a guard, as Columns, and Python
+functions for those who need them."""
 
 from __future__ import annotations
 
@@ -6,6 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidyloom.functions import regex
+from tidyloom.functions.fallback import python_corrector
 from tidyloom.plans.model import CorrectionRule
 
 IDENTITY = CorrectionRule(kind="none")
@@ -23,6 +25,8 @@ def compile_corrector(rule: CorrectionRule, column: Column) -> Column:
         changed = F.coalesce(F.element_at(table, column), column)
     elif rule.kind == "constant":
         changed = F.lit(rule.value or "")
+    elif rule.kind == "code":
+        changed = python_corrector(rule.code or "", column)
     else:
         raise ValueError(f"unknown kind of correction: {rule.kind}")
     if rule.guard is None:

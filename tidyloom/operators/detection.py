@@ -9,19 +9,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidyloom.functions.detector import NOTHING, RuleRejected, compile_detector
+from tidyloom.functions.fallback import python_detector
 from tidyloom.operators.names import col, mask
 
 
-def intra_masks(df: DataFrame, rules: Mapping[str, str | None], log: list[str] | None = None) -> DataFrame:
+def intra_masks(df: DataFrame, rules: Mapping[str, str | None], log: list[str] | None = None, python: bool = False) -> DataFrame:
     """Add m__<column> for each data column of ``rules``. Columns without a rule
     are unmarked; a rule that can't be compiled or analysed leaves its column
-    unmarked and is logged, without touching the others."""
+    unmarked and is logged, without touching the others. With ``python``, rules
+    outside the compiled language run as batched Python instead."""
     added = {}
     for name, code in rules.items():
         if name not in df.columns:
             continue
         try:
-            found = compile_detector(code or NOTHING, col(name))
+            try:
+                found = compile_detector(code or NOTHING, col(name))
+            except RuleRejected:
+                if not python:
+                    raise
+                found = python_detector(code, col(name))
             df.select(found)  # analysed now, run later
         except (RuleRejected, PySparkException) as e:
             found = F.lit(False)

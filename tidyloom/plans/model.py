@@ -7,7 +7,7 @@ from dataclasses import asdict, dataclass, field
 
 # The kinds of error and of change that rules may name.
 ERROR_KINDS = ("affix", "number_format", "sentinel", "missing", "inconsistent_abbreviation", "none", "other")
-CHANGE_KINDS = ("regex_sub", "mapping", "constant", "none")
+CHANGE_KINDS = ("regex_sub", "mapping", "constant", "none", "code")
 
 
 @dataclass(frozen=True)
@@ -27,6 +27,7 @@ class CorrectionRule:
     mapping: dict[str, str] | None = None
     value: str | None = None
     guard: str | None = None
+    code: str | None = None  # Python, for kind "code" alone; runs in batches on the executors
     error_kind: str = "none"
     error_found: bool = True
     reasoning: str = ""
