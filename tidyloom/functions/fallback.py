@@ -35,8 +35,9 @@ def python_corrector(code: str, column: Column) -> Column:
     @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:
         f = load(code, CORRECTOR)
-        cache = {v: "" if (new := f(v)) is None else str(new) for v in values.dropna().unique()}
-        return values.map(cache)
+        cells = [v if isinstance(v, str) else None for v in values]
+        new = {v: "" if (fixed := f(v)) is None else str(fixed) for v in set(cells) if v is not None}
+        return pd.Series([new.get(v) for v in cells], dtype=object)
 
     return run(column)
 
@@ -51,7 +52,7 @@ def python_detector(code: str, column: Column) -> Column:
 
     @F.pandas_udf("boolean")
     def run(values: pd.Series) -> pd.Series:
-        found = load(code, FUNCTION)(values)
+        found = load(code, FUNCTION)(pd.Series([v if isinstance(v, str) else None for v in values], dtype=object))
         if not isinstance(found, pd.Series) or len(found) != len(values):
             raise ValueError("a detector must return one truth value a row")
         return pd.Series(found.fillna(False).to_numpy(dtype=bool))
