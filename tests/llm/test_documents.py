@@ -326,6 +326,16 @@ def test_packing(spark, rows):
     assert len(sequences) <= packing.lower_bound(np.array([r.length for r in got]), 128) + 1
 
 
+def test_sequences_hold_the_ids(spark, rows):
+    from tokenizers import Tokenizer
+
+    path = tokencount.vocabulary(queries.WORDS)
+    tokenizer = Tokenizer.from_file(path)
+    got = packing.sequences(documents(spark, rows), path, 256).collect()
+    want = Counter(i for _, text, _ in rows for i in [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1])
+    assert Counter(i for r in got for i in r.ids) == want and max(len(r.ids) for r in got) <= 256
+
+
 def test_bounds_and_best_fit():
     rng = np.random.default_rng(1)
     assert packing.lower_bound(np.array([60, 60, 60, 40]), 100) == 3

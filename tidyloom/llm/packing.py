@@ -96,6 +96,35 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096) ->
     return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
+def piece_ids(docs: DataFrame, tokenizer_path: str, capacity: int = 4096) -> DataFrame:
+    """doc_id, piece, ids_crc32, ids of every piece."""
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, end = word_ids(tokenizer_path), np.array([END_ID], dtype="<u4").tobytes()
+        for batch in batches:
+            out = []
+            for i, text in enumerate(batch["text"].to_pylist()):
+                ids = encode(text or "") + end
+                parts = [ids[at : at + 4 * capacity] for at in range(0, len(ids), 4 * capacity)]
+                out += [(i, k, zlib.crc32(part), np.frombuffer(part, "<u4").astype(np.int32)) for k, part in enumerate(parts)]
+            kinds = {"piece": pa.int32(), "ids_crc32": pa.int64(), "ids": pa.list_(pa.int32())}
+            columns = {c: pa.array([r[j] for r in out], k) for j, (c, k) in enumerate(kinds.items(), 1)}
+            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"].take(pa.array([r[0] for r in out], pa.int32()))} | columns)
+
+    kind = dict(docs.select("doc_id").dtypes)["doc_id"]
+    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, piece int, ids_crc32 long, ids array<int>")
+
+
+def sequences(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, per_partition: int = 40_000) -> DataFrame:
+    """sequence_id and its ids, at most ``capacity`` of them: what a trainer reads."""
+    placed = stash(pack_documents(docs, tokenizer_path, capacity, per_partition), "placed")
+    ids = piece_ids(docs, tokenizer_path, capacity)
+    ids = ids.select(F.col("doc_id").alias("id"), F.col("piece").alias("part"), F.col("ids_crc32").alias("crc"), "ids").dropDuplicates(["id", "part", "crc"])  # repeated rows are the same
+    joined = placed.join(ids, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("piece") == F.col("part")) & (F.col("ids_crc32") == F.col("crc")))
+    gathered = joined.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("s"))  # bounded by capacity
+    return gathered.select("sequence_id", F.flatten(F.transform("s", lambda x: x["ids"])).alias("ids"))
+
+
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Bin and offset of each length, and the number of bins. Open bins are kept
     by free space; the set bits of ``free`` say which spaces there are, so the
