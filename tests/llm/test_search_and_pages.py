@@ -65,12 +65,14 @@ def test_places():
     page = '<div id="main-content"><p class="lead">In</p><div class="comments"><p>Out</p></div><header>Kept</header></div><header>Gone</header><div>Open</div>'
     assert htmldiff.lines_of(page) == [(0, "In"), (2, "Out"), (0, "Kept"), (2, "Gone"), (1, "Open")]
     assert htmldiff.lines_of("<article><p>a<p>b</article>c<br/>d<img alt='>'>e</nav>f<script>x") == [(0, "a"), (0, "b"), (1, "c"), (1, "de"), (1, "f")]
+    assert htmldiff.lines_of("<p title='it's>a</p>b</ x>c<p class=") == [(1, "a"), (1, "bc")]
     assert htmldiff.lines_of("<title>t</title>a&#x41;&nbsp;&lt;<!-- b -->c<textarea>q</textarea>") == [(1, "aA <c")]
 
 
 def test_differencing_without_markup(spark):
     page = "<div>Home</div><div>About us</div><div>Story {n} alone</div><div>All rights reserved by h</div>"
     rows = [(i, f"http://h.example/p{i:02}", page.format(n=i)) for i in range(25)] + [(99, "http://other.example/p", page.format(n=99))]
+    rows += [(10, rows[10][1], rows[10][2])] * 3  # copies are no evidence
     for per_partition in (4, 1000):
         got = {r.page_id: r.text for r in htmldiff.main_text(pages(spark, rows), per_partition).collect()}
         assert all(got[i] == f"Story {i} alone" for i in range(25))

@@ -55,6 +55,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lean(df: DataFrame, batch_bytes: int = 8 << 20) -> DataFrame:
+    """df, to be handed to Python in Arrow batches of at most that size: whole
+    texts are held several times over on their way (a session setting; a smaller
+    one is left alone)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = df.sparkSession.conf.get(name).rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= batch_bytes:
+        df.sparkSession.conf.set(name, f"{batch_bytes}b")
+    return df
+
+
 def whole_rows(docs: DataFrame, *columns: Column | str) -> DataFrame:
     """Each row as one struct, ``row``, beside the columns an operator works on,
     so that whatever else the rows hold can't clash with the operator's names.

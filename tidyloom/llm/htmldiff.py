@@ -14,7 +14,9 @@ also where a copy of the article is next door.
 The sort is a range partitioning, so a host of any size is spread over many
 tasks, and neighbours meet over a partition's edge: the first and last page of
 each partition, two for a partition, are handed to the partitions beside it.
-Texts are read once; only lines' digests are compared.
+Texts stay where they are; lines' digests are sorted and compared. Copies of a
+page are passed over for the nearest page that differs, as between copies all
+lines would be shared.
 
 Character references are decoded, white space inside a block (HTML's and any
 other) becomes one space, blocks are joined by a line end. A null html is empty,
@@ -33,9 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidyloom.llm._shared import stash
+from tidyloom.llm._shared import lean, stash
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)"  # comments
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"  # tags
+    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>"  # tags with a stray quote
+    r"|<[/a-zA-Z][^>]*$|<[!?/][^>]*>|[^<]+|<",  # a tag that never ends, declarations, text
+    re.S,
+)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
 # HTML's elements by what they mean for a page's text.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}
@@ -55,6 +63,7 @@ NAMES = re.compile(
 )
 BODY_NAMES = re.compile(r"(?:^|\s)(?:article|article-body|article-content|entry-content|main-content|post-body|post-content|story-body)(?=$|\s)", re.I)
 ARTICLE, OPEN, CHROME = 0, 1, 2
+BROADCAST_LINES = 1_000_000  # four bytes each, and 16 for a page
 
 
 def lines_of(page: str) -> list[tuple[int, str]]:
@@ -74,13 +83,13 @@ def lines_of(page: str) -> list[tuple[int, str]]:
     while at < end:
         m = TOKEN.match(page, at)
         at = m.end()
-        name = m[2]
+        closing, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if name is None:
             if page[m.start()] != "<" or m.end() - m.start() == 1:
                 parts.append(m[0])
             continue
         name = name.lower()
-        if m[1]:
+        if closing:
             if name in BLOCK or name in FURNITURE:
                 flush()
             if any(tag == name for tag, _ in stack):
@@ -102,14 +111,14 @@ def lines_of(page: str) -> list[tuple[int, str]]:
             continue
         inner = place
         if place != CHROME:
-            if name in FURNITURE or (name == "header" and place != ARTICLE) or (m[3] and _is_furniture(name, m[3])):
+            if name in FURNITURE or (name == "header" and place != ARTICLE) or (attributes and _is_furniture(name, attributes)):
                 inner = CHROME
-            elif name in CONTENT or (m[3] and _is_content(m[3])):
+            elif name in CONTENT or (attributes and _is_content(attributes)):
                 inner = ARTICLE
         if name == "p" and stack and stack[-1][0] == "p":  # an open paragraph ends where the next begins
             place = stack.pop()[1]
             inner = place if inner == place or inner != CHROME else inner
-        if not m[3].rstrip().endswith("/"):
+        if not attributes.rstrip().endswith("/"):
             stack.append((name, place))
             place = inner
     flush()
@@ -178,25 +187,20 @@ def _digest(text: str) -> int:
     return int.from_bytes(xxhash.xxh64_digest(text.encode("utf-8", "surrogatepass")), "big", signed=True)
 
 
-def page_lines(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, path, places, lines, outside (digests of the lines
-    outside articles); a narrow pass."""
-
-    own = {"host": pa.string(), "path": pa.string(), "places": pa.list_(pa.int32()), "lines": pa.list_(pa.string()), "outside": pa.list_(pa.int64())}
+def page_keys(pages: DataFrame) -> DataFrame:
+    """page_id, content, host, path, outside (digests of the lines outside
+    articles); a narrow pass that leaves the texts behind."""
+    own = {"host": pa.string(), "path": pa.string(), "outside": pa.list_(pa.int64())}
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for url, page in zip(batch["url"].to_pylist(), batch["html"].to_pylist()):
-                found = lines_of(page or "")
-                out.append((*_address(url), [p for p, _ in found], [t for _, t in found], [_digest(t) for p, t in found if p != ARTICLE]))
+                out.append((*_address(url), [_digest(t) for p, t in lines_of(page or "") if p != ARTICLE]))
             columns = {c: pa.array([r[i] for r in out], k) for i, (c, k) in enumerate(own.items())}
-            yield pa.RecordBatch.from_pydict({"page_id": batch["page_id"], "url": batch["url"]} | columns)
+            yield pa.RecordBatch.from_pydict({"page_id": batch["page_id"], "content": batch["content"]} | columns)
 
-    kinds = dict(pages.select("page_id", "url").dtypes)
-    return pages.select("page_id", "url", "html").mapInArrow(
-        rows, f"page_id {kinds['page_id']}, url {kinds['url']}, host string, path string, places array<int>, lines array<string>, outside array<long>"
-    )
+    return lean(pages).mapInArrow(rows, f"page_id {dict(pages.dtypes)['page_id']}, content long, host string, path string, outside array<long>")
 
 
 def _address(url: object) -> tuple[str, str]:
@@ -209,30 +213,27 @@ def _address(url: object) -> tuple[str, str]:
     return parts.netloc.lower(), f"{parts.path}?{parts.query}"
 
 
-def _article(places: list[int], lines: list[str], outside: list[int], neighbours: list[list[int]]) -> tuple[str, int]:
-    gone: set[int] = set()
-    for other in neighbours:
-        gone |= shared_lines(outside, other)
-    marked = any(p == ARTICLE for p in places)
-    kept, k = [], -1
-    for place, line in zip(places, lines):
-        if place == ARTICLE:
-            kept.append(line)
-            continue
-        k += 1
-        if place == OPEN and not marked and k not in gone:
-            kept.append(line)
-    return "\n".join(kept), len(gone)
-
-
-def main_text(pages: DataFrame, per_partition: int = 2_000) -> DataFrame:
-    """page_id, url, text, n_chars and n_shared (lines outside the article that
-    a neighbour shares) for every page."""
-    spark = pages.sparkSession
-    lines = stash(page_lines(pages), "pagelines")
-    parts = max(2, -(-lines.count() // per_partition))
-    order = ["host", "path", "page_id"]
-    ranged = stash(lines.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "sorted")
+def _neighbours(hosts: list, outside: list[list[int]]) -> list[list[int]]:
+    """For each page the places of the nearest pages before and after it on its
+    host whose lines are not the same throughout: copies say nothing."""
+    n = len(hosts)
+    before, after = [-1] * n, [-1] * n
+    for found, order in ((before, range(n)), (after, range(n - 1, -1, -1))):
+        last = -1
+        for i in order:
+            if last >= 0 and hosts[last] == hosts[i] and hosts[i] is not None:
+                found[i] = found[last] if outside[last] == outside[i] else last
+            last = i
+    return [[j for j in pair if j >= 0] for pair in zip(before, after)]
+
+
+def shared_with_neighbours(keys: DataFrame, per_partition: int) -> DataFrame:
+    """page_id, content, gone: which lines outside articles a page shares with
+    its nearest URLs, for the pages that share any."""
+    spark = keys.sparkSession
+    parts = max(2, -(-keys.count() // per_partition))
+    order = ["host", "path", "page_id", "content"]
+    ranged = stash(keys.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "sorted")
     edge = F.struct(*order, "outside")
     fences = ranged.groupBy("part").agg(F.min(edge).alias("first"), F.max(edge).alias("last")).orderBy("part").collect()  # two pages a partition
     before = {b["part"]: a["last"] for a, b in zip(fences, fences[1:])}
@@ -242,17 +243,44 @@ def main_text(pages: DataFrame, per_partition: int = 2_000) -> DataFrame:
     def rows(key: tuple, group: pa.Table) -> pa.Table:
         before, after = shared.value
         group = group.sort_by([(c, "ascending") for c in order])
-        hosts, outside = group["host"].to_pylist(), group["outside"].to_pylist()
         first, last = before.get(key[0].as_py()), after.get(key[0].as_py())
-        hosts = [first["host"] if first else None, *hosts, last["host"] if last else None]
-        outside = [first["outside"] if first else [], *outside, last["outside"] if last else []]
-        out = []
-        for i, (places, texts) in enumerate(zip(group["places"].to_pylist(), group["lines"].to_pylist()), 1):
-            near = [outside[j] for j in (i - 1, i + 1) if hosts[j] is not None and hosts[j] == hosts[i]]
-            text, n = _article(places, texts, outside[i], near)
-            out.append((text, len(text), n))
-        columns = {c: pa.array([r[i] for r in out], k) for i, (c, k) in enumerate({"text": pa.string(), "n_chars": pa.int64(), "n_shared": pa.int64()}.items())}
-        return pa.table({"page_id": group["page_id"], "url": group["url"]} | columns)
-
-    kinds = dict(pages.select("page_id", "url").dtypes)
-    return ranged.groupBy("part").applyInArrow(rows, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long, n_shared long")
+        hosts = [first and first["host"], *group["host"].to_pylist(), last and last["host"]]
+        outside = [first["outside"] if first else [], *group["outside"].to_pylist(), last["outside"] if last else []]
+        gone = []
+        for i, near in enumerate(_neighbours(hosts, outside)[1:-1], 1):
+            found = set().union(*(shared_lines(outside[i], outside[j]) for j in near))
+            gone.append(sorted(found) or None)
+        table = pa.table({"page_id": group["page_id"], "content": group["content"], "gone": pa.array(gone, pa.list_(pa.int32()))})
+        return table.filter(table["gone"].is_valid())
+
+    found = ranged.groupBy("part").applyInArrow(rows, f"page_id {dict(keys.dtypes)['page_id']}, content long, gone array<int>")
+    return found.groupBy("page_id", "content").agg(F.min("gone").alias("gone"))
+
+
+def article(page: str, gone: Iterable[int]) -> str:
+    lines = lines_of(page)
+    if any(place == ARTICLE for place, _ in lines):
+        return "\n".join(text for place, text in lines if place == ARTICLE)
+    gone = set(gone)
+    return "\n".join(text for k, (place, text) in enumerate(lines) if place == OPEN and k not in gone)
+
+
+def main_text(pages: DataFrame, per_partition: int = 20_000) -> DataFrame:
+    """page_id, url, text, n_chars and n_shared (lines outside the article that
+    a neighbour shares) for every page. Pages are parsed twice and moved at most
+    once: what is sorted and compared is digests."""
+    named = pages.select("page_id", "url", "html", F.xxhash64("url", "html").alias("content"))
+    keys = stash(page_keys(named), "pagekeys")
+    gone = stash(shared_with_neighbours(keys, per_partition), "gone").select(F.col("page_id").alias("id"), F.col("content").alias("what"), "gone")
+    lines = gone.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0]
+    joined = named.join(F.broadcast(gone) if lines <= BROADCAST_LINES else gone, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("content") == F.col("what")), "left_outer")
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gone = [g or [] for g in batch["gone"].to_pylist()]
+            texts = [article(page or "", g) for page, g in zip(batch["html"].to_pylist(), gone)]
+            columns = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(list(map(len, texts)), pa.int64()), "n_shared": pa.array(list(map(len, gone)), pa.int64())}
+            yield pa.RecordBatch.from_pydict({"page_id": batch["page_id"], "url": batch["url"]} | columns)
+
+    kinds = dict(named.dtypes)
+    return joined.select("page_id", "url", "html", "gone").mapInArrow(rows, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long, n_shared long")

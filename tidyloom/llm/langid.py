@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidyloom.llm._shared import discard, stash
+from tidyloom.llm._shared import discard, lean, stash
 
 START = "▁"
 UNDETERMINED = "und"
@@ -205,7 +205,7 @@ def train(labelled: DataFrame, vocabulary: str, max_docs: int = 8_000, rounds: i
             rows += [(lang, None, float(n)) for lang, n in documents.items()]
             yield pd.DataFrame(rows, columns=["lang", "word", "n"])
 
-    counted = stash(sample.mapInPandas(count, "lang string, word string, n double").groupBy("lang", "word").agg(F.sum("n").alias("n")), "langwords")
+    counted = stash(lean(sample).mapInPandas(count, "lang string, word string, n double").groupBy("lang", "word").agg(F.sum("n").alias("n")), "langwords")
     documents = {r["lang"]: r["n"] for r in counted.where("word is null").collect()}
     languages = sorted(documents)
     table = piece_table(vocabulary)
@@ -253,7 +253,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "lang_pred": pa.array([x for x, _ in found], pa.string()), "score": pa.array([s for _, s in found], pa.float64())})
 
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, lang_pred string, score double")
+    return lean(docs).select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, lang_pred string, score double")
 
 
 def fold(doc_id: Column) -> Column:
@@ -277,4 +277,4 @@ def keep_identified(docs: DataFrame, vocabulary: str, max_docs: int = 8_000) ->
             found = scorer.predict(batch["text"].to_pylist())
             yield batch.filter(pa.array([x != UNDETERMINED for x, _ in found], pa.bool_()))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return lean(docs).mapInArrow(rows, docs.schema)

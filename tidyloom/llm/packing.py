@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidyloom.llm._shared import TwoGenerationCache, discard, stash
+from tidyloom.llm._shared import TwoGenerationCache, discard, lean, stash
 
 END_ID = 1
 MARKS = ".,;:!?*#%&$"
@@ -38,7 +38,7 @@ class WordIds:
     span a space or a line end, so a text's ids are those of its parts between
     them, and the parts, which come again and again, are looked up."""
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 400_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -93,7 +93,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096) ->
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"].take(pa.array(row, pa.int32())), **columns})
 
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return lean(docs).select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def piece_ids(docs: DataFrame, tokenizer_path: str, capacity: int = 4096) -> DataFrame:
@@ -112,7 +112,7 @@ def piece_ids(docs: DataFrame, tokenizer_path: str, capacity: int = 4096) -> Dat
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"].take(pa.array([r[0] for r in out], pa.int32()))} | columns)
 
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, piece int, ids_crc32 long, ids array<int>")
+    return lean(docs).select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, piece int, ids_crc32 long, ids array<int>")
 
 
 def sequences(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, per_partition: int = 40_000) -> DataFrame:

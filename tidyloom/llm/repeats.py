@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidyloom.llm._shared import discard, stash
+from tidyloom.llm._shared import lean, stash
 
 GRAM = 32
 LONGEST_RUN = 4096
@@ -132,7 +132,7 @@ def document_runs(docs: DataFrame, length: int) -> DataFrame:
         return pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"].take(pa.array(at, pa.int32()))} | columns)
 
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, content long, hash long, start int, windows int, looped boolean, same long")
+    return lean(docs).select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, content long, hash long, start int, windows int, looped boolean, same long")
 
 
 class RunLengthIndex:
@@ -260,7 +260,7 @@ def with_content(docs: DataFrame) -> DataFrame:
             yield batch.append_column("content", pa.array([_content(_bytes(t)) for t in batch["text"].to_pylist()], pa.int64()))
 
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, text string, content long")
+    return lean(docs).select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, text string, content long")
 
 
 def run_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidyloom.llm._shared import discard, stash, whole_rows
+from tidyloom.llm._shared import discard, lean, stash, whole_rows
 
 SEED = 42
 BROADCAST_ROWS = 500_000
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "fp": pa.array([fingerprint(t, width) for t in batch["text"].to_pylist()], pa.int64())})
 
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, fp long")
+    return lean(docs).select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, fp long")
 
 
 def low(fp: Column) -> Column:

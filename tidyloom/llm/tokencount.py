@@ -31,7 +31,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidyloom.llm._shared import TwoGenerationCache
+from tidyloom.llm._shared import TwoGenerationCache, lean
 
 SPACE = "▁"
 NEWLINE = "\n"
@@ -228,7 +228,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
             )
 
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return lean(docs).select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def vocabulary(name: str) -> str:
