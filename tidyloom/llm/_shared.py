@@ -3,6 +3,8 @@ cluster's shared folder, unambiguous column handling, bounded caches."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -55,7 +57,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lean(df: DataFrame, batch_bytes: int = 8 << 20) -> DataFrame:
+def lean(df: DataFrame, batch_bytes: int = 4 << 20) -> DataFrame:
     """df, to be handed to Python in Arrow batches of at most that size: whole
     texts are held several times over on their way (a session setting; a smaller
     one is left alone)."""
@@ -81,6 +83,28 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
+_resident: dict = {}
+
+
+def resident(key: tuple, make):
+    """What ``make()`` gives, kept by the Python worker for its next tasks: one
+    thing at a time, so that a worker that outlives an operator doesn't hold the
+    tables of the last one beside its own."""
+    if _resident.get("key") != key:
+        release()
+        _resident.update(key=key, value=make())
+    return _resident["value"]
+
+
+def release() -> None:
+    """Forget what the worker keeps and hand its memory back to the system."""
+    _resident.clear()
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 class TwoGenerationCache(dict):
     """A dict whose misses call ``make(key)``, holding at most 2 * limit entries:
     when the young generation is full it becomes the old one, and entries that

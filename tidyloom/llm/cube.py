@@ -35,6 +35,7 @@ from tidyloom.llm._shared import stash, whole_rows
 
 WEIGHTS = (5, 2, 1)
 EPSILON = 1e-9
+BROADCAST_ROWS = 500_000  # an id, a source, a size and a number: under 64 MB
 
 
 def word_count(text: Column) -> Column:
@@ -189,8 +190,9 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     picked = stash(copies(sized(docs), **options), "picked")
     key = [F.col("doc_id").alias("id"), F.col("source").alias("from"), F.col("size").alias("words")]
     lists = picked.groupBy(*key).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("copies"))
+    few = picked.count() <= BROADCAST_ROWS
     rows = whole_rows(docs, "doc_id", "source", word_count(F.col("text")).alias("size")).join(
-        lists, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("from")) & (F.col("size") == F.col("words"))
+        F.broadcast(lists) if few else lists, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("from")) & (F.col("size") == F.col("words"))
     )
     single = rows.where(F.size("copies") == 1).select("row", F.element_at("copies", 1).alias("n"))
     place = F.row_number().over(Window.partitionBy("id", "from", "words").orderBy("row.text"))

@@ -21,6 +21,7 @@ training, lang are read; other columns are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidyloom.llm._shared import discard, lean, stash
+from tidyloom.llm._shared import discard, lean, release, resident, stash
 
 START = "▁"
 UNDETERMINED = "und"
@@ -144,13 +145,14 @@ class Model:
 
     def __init__(self, vocabulary: str, languages: list[str], prior: np.ndarray, probability: np.ndarray):
         self.vocabulary, self.languages, self.prior, self.probability = vocabulary, languages, prior, probability
+        self.key = uuid.uuid4().hex
 
 
 class Scorer:
     """Log probabilities of words, kept for words that come again; at most
     ``limit`` words at a time."""
 
-    def __init__(self, model: Model, limit: int = 300_000):
+    def __init__(self, model: Model, limit: int = 200_000):
         self.model, self.limit = model, limit
         self.table = piece_table(model.vocabulary)
         self.probability = np.vstack([model.probability, np.zeros((1, len(model.languages)))])
@@ -188,6 +190,11 @@ class Scorer:
         return out
 
 
+def scorer_of(model: Model) -> Scorer:
+    """One scorer per Python worker, kept for the next tasks with its model."""
+    return resident(("scorer", model.key), lambda: Scorer(model))
+
+
 def train(labelled: DataFrame, vocabulary: str, max_docs: int = 8_000, rounds: int = 3, smoothing: float = 0.02) -> Model:
     """labelled: doc_id, text, lang; rows with a null among text and lang are left out."""
     labelled = labelled.select("doc_id", "text", "lang").where("text is not null and lang is not null")
@@ -196,6 +203,7 @@ def train(labelled: DataFrame, vocabulary: str, max_docs: int = 8_000, rounds: i
     sample = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
 
     def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for batch in batches:
             counts: dict[str, Counter] = {}
             documents = Counter(batch["lang"])
@@ -247,7 +255,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: vocabulary times languages
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = scorer_of(shared.value)
         for batch in batches:
             found = scorer.predict(batch["text"].to_pylist())
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "lang_pred": pa.array([x for x, _ in found], pa.string()), "score": pa.array([s for _, s in found], pa.float64())})
@@ -272,7 +280,7 @@ def keep_identified(docs: DataFrame, vocabulary: str, max_docs: int = 8_000) ->
     model = docs.sparkSession.sparkContext.broadcast(train(docs, vocabulary, max_docs))
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.value)
+        scorer = scorer_of(model.value)
         for batch in batches:
             found = scorer.predict(batch["text"].to_pylist())
             yield batch.filter(pa.array([x != UNDETERMINED for x, _ in found], pa.bool_()))

@@ -27,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidyloom.llm._shared import TwoGenerationCache, discard, lean, stash
+from tidyloom.llm._shared import TwoGenerationCache, discard, lean, resident, stash
 
 END_ID = 1
 MARKS = ".,;:!?*#%&$"
+WORDS_KEPT = 400_000  # parts that a worker looks up, about 400 bytes each; fewer cost time, never results
 
 
 class WordIds:
@@ -38,7 +39,7 @@ class WordIds:
     span a space or a line end, so a text's ids are those of its parts between
     them, and the parts, which come again and again, are looked up."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = WORDS_KEPT):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -64,20 +65,15 @@ class WordIds:
         return b"".join([b"".join(map(part, line.split(" "))) for line in text.split("\n")])
 
 
-_loaded: dict[str, WordIds] = {}
+def word_ids(path: str, words_kept: int = WORDS_KEPT) -> WordIds:
+    return resident(("words", path, words_kept), lambda: WordIds(path, words_kept))
 
 
-def word_ids(path: str) -> WordIds:
-    if path not in _loaded:
-        _loaded[path] = WordIds(path)
-    return _loaded[path]
-
-
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, words_kept: int = WORDS_KEPT) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece; a narrow pass."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, step = word_ids(tokenizer_path), np.array([END_ID], dtype="<u4").tobytes(), 4 * capacity
+        encode, end, step = word_ids(tokenizer_path, words_kept), np.array([END_ID], dtype="<u4").tobytes(), 4 * capacity
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(batch["text"].to_pylist()):
@@ -232,5 +228,5 @@ def pack(pieces: DataFrame, capacity: int = 4096, per_partition: int = 40_000, r
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, per_partition: int = 40_000) -> DataFrame:
-    return pack(token_pieces(docs, tokenizer_path, capacity), capacity, per_partition)
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, per_partition: int = 40_000, words_kept: int = WORDS_KEPT) -> DataFrame:
+    return pack(token_pieces(docs, tokenizer_path, capacity, words_kept), capacity, per_partition)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidyloom.llm._shared import discard, lean, stash, whole_rows
+from tidyloom.llm._shared import discard, lean, release, stash, whole_rows
 
 SEED = 42
 BROADCAST_ROWS = 500_000
@@ -67,6 +67,7 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "fp": pa.array([fingerprint(t, width) for t in batch["text"].to_pylist()], pa.int64())})
 

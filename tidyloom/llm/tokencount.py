@@ -31,7 +31,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidyloom.llm._shared import TwoGenerationCache, lean
+from tidyloom.llm._shared import TwoGenerationCache, lean, resident
 
 SPACE = "▁"
 NEWLINE = "\n"
@@ -200,14 +200,9 @@ def _may_start(left: str, right: str) -> bool:
     return bool(left) and right[:1] == SPACE and left[-1:] != SPACE
 
 
-_compiled: dict[str, PieceTransducer] = {}
-
-
 def transducer(path: str) -> PieceTransducer:
     """One compiled tokenizer per Python worker."""
-    if path not in _compiled:
-        _compiled[path] = PieceTransducer(path)
-    return _compiled[path]
+    return resident(("pieces", path), lambda: PieceTransducer(path))
 
 
 def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFrame:
