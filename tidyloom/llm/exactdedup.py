@@ -95,7 +95,8 @@ def duplicate_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha25
     hits = state.where("n > 1").select("digest", F.col("keep.doc_id").alias("keep_id"))
     hit_rows = texts.withColumn("digest", digest(F.col("text"))).join(small(hits, n_hits := hits.count()), "digest")
     stays = hit_rows.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("text").alias("staying"))
-    differing = stash(hit_rows.join(stays, "digest").where(F.col("text") != F.col("staying")).select("digest").distinct(), "differing")
+    stays = stash(stays, "stays")  # written, so that the join below can split a digest that very many rows share
+    differing = stash(hit_rows.join(stays, "digest").where(F.col("text") != F.col("staying")).select("digest"), "differing").distinct()
     clashes = differing.count() if n_hits else 0
 
     keeps = state.select("digest", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"))
