@@ -218,9 +218,15 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3, crowd: i
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component stays, the one with the smallest doc_id
-    (of repeated rows with that doc_id, the first by text); all columns stay."""
-    groups = stash(near_duplicates(docs, **options), "components")
+    """One document of each component stays, as in ``keep_first``."""
+    return keep_first(docs, near_duplicates(docs, **options))
+
+
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """found: doc_id, component_id of every row. One document of each component
+    stays, the one with the smallest doc_id (of repeated rows with that doc_id,
+    the first by text); all columns stay."""
+    groups = stash(found, "components")
     ids = groups.groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("first"))
     marked = stash(ids.where("n > 1 or not first"), "marked")
     n = marked.count()
