@@ -79,6 +79,12 @@ def test_differencing_without_markup(spark):
         assert got[99] == "Home\nAbout us\nStory 99 alone\nAll rights reserved by h"  # no page beside it on its host
 
 
+def test_body_beside_a_marked_block(spark):
+    page = "<div>My site</div><article>Teaser {n}</article><div>Body {n}</div><div>Imprint</div>"
+    got = htmldiff.main_text(pages(spark, [(i, f"http://h.example/{i}", page.format(n=i)) for i in range(6)]), per_partition=3).collect()
+    assert {r.page_id: (r.text, r.n_shared) for r in got} == {i: (f"Teaser {i}\nBody {i}", 2) for i in range(6)}
+
+
 def test_longest_common_subsequence():
     rng = random.Random(3)
 

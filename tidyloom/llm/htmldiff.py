@@ -6,10 +6,10 @@ inside the article, inside parts that are furniture by their tag, role or class
 and URL path, so that neighbours are the pages with the nearest URLs. The lines
 outside articles of a page and of each neighbour are aligned by longest common
 subsequence, and lines that a neighbour shares are deleted: templates, menus and
-footers, however they are marked. What is left of a page is its article where it
-marks one, and else its open lines that no neighbour shares. Lines of furniture
-go in any case, as hosts vary them from page to page; lines of an article stay,
-also where a copy of the article is next door.
+footers, however they are marked. What is left of a page is its article, where it
+marks one, and its open lines that no neighbour shares. Lines of furniture go in
+any case, as hosts vary them from page to page; lines of an article stay, also
+where a copy of the article is next door.
 
 The sort is a range partitioning, so a host of any size is spread over many
 tasks, and neighbours meet over a partition's edge: the first and last page of
@@ -258,11 +258,13 @@ def shared_with_neighbours(keys: DataFrame, per_partition: int) -> DataFrame:
 
 
 def article(page: str, gone: Iterable[int]) -> str:
-    lines = lines_of(page)
-    if any(place == ARTICLE for place, _ in lines):
-        return "\n".join(text for place, text in lines if place == ARTICLE)
-    gone = set(gone)
-    return "\n".join(text for k, (place, text) in enumerate(lines) if place == OPEN and k not in gone)
+    """gone counts the lines outside articles."""
+    gone, kept, outside = set(gone), [], 0
+    for place, text in lines_of(page):
+        if place == ARTICLE or place == OPEN and outside not in gone:
+            kept.append(text)
+        outside += place != ARTICLE
+    return "\n".join(kept)
 
 
 def main_text(pages: DataFrame, per_partition: int = 20_000) -> DataFrame:
