@@ -85,6 +85,14 @@ def test_body_beside_a_marked_block(spark):
     assert {r.page_id: (r.text, r.n_shared) for r in got} == {i: (f"Teaser {i}\nBody {i}", 2) for i in range(6)}
 
 
+@pytest.mark.parametrize("per_partition", [5, 1000])
+def test_copies_under_other_menus(spark, per_partition):
+    page = "<div>My site</div><nav>Menu {n}</nav><div>Story {k} alone</div><div class='ad'>Buy {n}</div><footer>Since {n}</footer>"
+    rows = [(i, f"http://h.example/p{i:02}", page.format(n=i, k=i // 2)) for i in range(20)]
+    got = htmldiff.main_text(pages(spark, rows), per_partition).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"Story {i // 2} alone" for i in range(20)}
+
+
 def test_longest_common_subsequence():
     rng = random.Random(3)
 

@@ -15,8 +15,9 @@ The sort is a range partitioning, so a host of any size is spread over many
 tasks, and neighbours meet over a partition's edge: the first and last page of
 each partition, two for a partition, are handed to the partitions beside it.
 Texts stay where they are; lines' digests are sorted and compared. Copies of a
-page are passed over for the nearest page that differs, as between copies all
-lines would be shared.
+page, those with the same lines outside furniture, are passed over for the
+nearest page that differs, as between copies the whole body would be shared,
+whatever menu or advert each has.
 
 Character references are decoded, white space inside a block (HTML's and any
 other) becomes one space, blocks are joined by a line end. A null html is empty,
@@ -189,18 +190,21 @@ def _digest(text: str) -> int:
 
 def page_keys(pages: DataFrame) -> DataFrame:
     """page_id, content, host, path, outside (digests of the lines outside
-    articles); a narrow pass that leaves the texts behind."""
-    own = {"host": pa.string(), "path": pa.string(), "outside": pa.list_(pa.int64())}
+    articles), body (digest of the lines outside furniture, null if there are
+    none); a narrow pass that leaves the texts behind."""
+    own = {"host": pa.string(), "path": pa.string(), "outside": pa.list_(pa.int64()), "body": pa.int64()}
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for url, page in zip(batch["url"].to_pylist(), batch["html"].to_pylist()):
-                out.append((*_address(url), [_digest(t) for p, t in lines_of(page or "") if p != ARTICLE]))
+                lines = lines_of(page or "")
+                body = [t for p, t in lines if p != CHROME]
+                out.append((*_address(url), [_digest(t) for p, t in lines if p != ARTICLE], _digest("\n".join(body)) if body else None))
             columns = {c: pa.array([r[i] for r in out], k) for i, (c, k) in enumerate(own.items())}
             yield pa.RecordBatch.from_pydict({"page_id": batch["page_id"], "content": batch["content"]} | columns)
 
-    return lean(pages).mapInArrow(rows, f"page_id {dict(pages.dtypes)['page_id']}, content long, host string, path string, outside array<long>")
+    return lean(pages).mapInArrow(rows, f"page_id {dict(pages.dtypes)['page_id']}, content long, host string, path string, outside array<long>, body long")
 
 
 def _address(url: object) -> tuple[str, str]:
@@ -213,16 +217,18 @@ def _address(url: object) -> tuple[str, str]:
     return parts.netloc.lower(), f"{parts.path}?{parts.query}"
 
 
-def _neighbours(hosts: list, outside: list[list[int]]) -> list[list[int]]:
+def _neighbours(hosts: list, outside: list[list[int]], bodies: list) -> list[list[int]]:
     """For each page the places of the nearest pages before and after it on its
-    host whose lines are not the same throughout: copies say nothing."""
+    host that differ in their bodies, or without a body in any line: copies say
+    nothing."""
     n = len(hosts)
     before, after = [-1] * n, [-1] * n
     for found, order in ((before, range(n)), (after, range(n - 1, -1, -1))):
         last = -1
         for i in order:
             if last >= 0 and hosts[last] == hosts[i] and hosts[i] is not None:
-                found[i] = found[last] if outside[last] == outside[i] else last
+                copy = bodies[last] == bodies[i] and (bodies[i] is not None or outside[last] == outside[i])
+                found[i] = found[last] if copy else last
             last = i
     return [[j for j in pair if j >= 0] for pair in zip(before, after)]
 
@@ -234,7 +240,7 @@ def shared_with_neighbours(keys: DataFrame, per_partition: int) -> DataFrame:
     parts = max(2, -(-keys.count() // per_partition))
     order = ["host", "path", "page_id", "content"]
     ranged = stash(keys.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "sorted")
-    edge = F.struct(*order, "outside")
+    edge = F.struct(*order, "outside", "body")
     fences = ranged.groupBy("part").agg(F.min(edge).alias("first"), F.max(edge).alias("last")).orderBy("part").collect()  # two pages a partition
     before = {b["part"]: a["last"] for a, b in zip(fences, fences[1:])}
     after = {a["part"]: b["first"] for a, b in zip(fences, fences[1:])}
@@ -246,8 +252,9 @@ def shared_with_neighbours(keys: DataFrame, per_partition: int) -> DataFrame:
         first, last = before.get(key[0].as_py()), after.get(key[0].as_py())
         hosts = [first and first["host"], *group["host"].to_pylist(), last and last["host"]]
         outside = [first["outside"] if first else [], *group["outside"].to_pylist(), last["outside"] if last else []]
+        bodies = [first and first["body"], *group["body"].to_pylist(), last and last["body"]]
         gone = []
-        for i, near in enumerate(_neighbours(hosts, outside)[1:-1], 1):
+        for i, near in enumerate(_neighbours(hosts, outside, bodies)[1:-1], 1):
             found = set().union(*(shared_lines(outside[i], outside[j]) for j in near))
             gone.append(sorted(found) or None)
         table = pa.table({"page_id": group["page_id"], "content": group["content"], "gone": pa.array(gone, pa.list_(pa.int32()))})
