@@ -96,6 +96,16 @@ def test_license_scan(spark, rows):
     assert license.license_scan(documents(spark, rows)).count() == len(rows)
 
 
+def test_wrapped_license_notices(spark):
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal'
+    bsd = " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:"
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one"
+    filler = "\n".join(" ".join(f"word{i}x{k}" for k in range(9)) for i in range(30))
+    texts = [mit, bsd, mpl, f"{filler}\n{mit}\n{filler}", f"{filler} {mpl.replace(' ', chr(10))} {filler}", mit[:76] + "\n\n" + mit[77:], filler]
+    got = {r.doc_id: (r.labels, r.score) for r in license.license_scan(documents(spark, [(i, t, None) for i, t in enumerate(texts)])).collect()}
+    assert got == {0: ("mit", 1.0), 1: ("bsd", 1.0), 2: ("mpl-2.0", 1.0), 3: ("mit", 1.0), 4: ("mpl-2.0", 1.0), 5: ("", 0.0), 6: ("", 0.0)}
+
+
 def test_similarity_join_is_exact(spark):
     rng = random.Random(1)
     pool = [f"w{i}" for i in range(14)]

@@ -2,8 +2,11 @@
 
 Words are runs of digits, ASCII letters (lower-cased) and anything beyond ASCII.
 A phrase is found wherever its words stand one after another. Beyond that every
-line of a text is a block, and every license template whose words are contained
-in a block to at least ``threshold`` gives its label. The join is exact: words
+line of a text is a block, and so are, as notices are wrapped, overlapping
+windows of the joined lines of each paragraph: twice as many words as the longest
+template, at every such length, so that a template's span of words is whole in
+one. Every license template whose words are contained in a block to at least
+``threshold`` gives its label. The join is exact: words
 are ordered by their frequency over all blocks, rarest first; a template and a
 block that overlap in the ``need`` words required share one within the first
 size - need + 1 of either (prefix filter), the block must hold enough words
@@ -78,7 +81,18 @@ def phrase_places(words: Column, lower: Column, phrase: str) -> Column:
     return F.when(possible, scan).otherwise(F.array().cast("array<int>"))
 
 
-def scanned(docs: DataFrame, vocabulary: list[str], phrases: dict[str, str]) -> DataFrame:
+def windows(lower: Column, span: int) -> Column:
+    """The words of overlapping windows of 2 * span words at every span, over
+    each paragraph of several lines; in one line the line itself holds more."""
+    wrapped = F.filter(F.split(lower, r"\n\s*\n"), lambda p: F.trim(p).contains("\n"))
+
+    def cut(ws: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(ws) / span).cast("int") - 2)), lambda k: F.slice(ws, k * span + 1, F.lit(2 * span)))
+
+    return F.flatten(F.transform(F.transform(wrapped, lambda p: F.filter(F.split(p, SEPARATORS), lambda w: w != "")), cut))
+
+
+def scanned(docs: DataFrame, vocabulary: list[str], phrases: dict[str, str], span: int) -> DataFrame:
     """One narrow pass: phrase columns, and per block the words of the library."""
     lower = docs.select("doc_id", ascii_lower(F.coalesce(F.col("text"), F.lit(""))).alias("lower"))
     split = lower.withColumn(
@@ -88,7 +102,8 @@ def scanned(docs: DataFrame, vocabulary: list[str], phrases: dict[str, str]) ->
     places = [F.col(f"at{k}") for k in range(len(phrases))]
     every = F.flatten(F.array(*places))
     found = F.filter(F.array(*[F.when(F.size(at) > 0, F.lit(label)) for at, label in zip(places, phrases.values())]), lambda x: x.isNotNull())
-    known = F.filter(F.transform("blocks", lambda ws: F.array_distinct(F.filter(ws, lambda w: w.isin(vocabulary)))), lambda ws: F.size(ws) > 0)
+    blocks = F.when(F.col("lower").contains("\n"), F.concat("blocks", windows(F.col("lower"), span))).otherwise(F.col("blocks"))
+    known = F.filter(F.transform(blocks, lambda ws: F.array_distinct(F.filter(ws, lambda w: w.isin(vocabulary)))), lambda ws: F.size(ws) > 0)
     return placed.select(
         "doc_id",
         F.xxhash64("lower").alias("content"),
@@ -131,7 +146,8 @@ def similar_blocks(blocks: DataFrame, templates: list[tuple[str, str]], threshol
 
 def license_scan(docs: DataFrame, threshold: float = THRESHOLD, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES) -> DataFrame:
     vocabulary = sorted({w for _, ws in template_sets(templates) for w in ws})
-    base = stash(scanned(docs, vocabulary, phrases), "blocks")
+    span = max(sum(w != "" for w in re.split(SEPARATORS, text)) for _, text in templates)
+    base = stash(scanned(docs, vocabulary, phrases, span), "blocks")
     blocks = base.select("doc_id", "content", F.explode("blocks").alias("tokens"))
     found = similar_blocks(blocks, templates, threshold)
     found = found.groupBy(F.col("doc_id").alias("id"), F.col("content").alias("what")).agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
