@@ -69,6 +69,17 @@ def test_places():
     assert htmldiff.lines_of("<title>t</title>a&#x41;&nbsp;&lt;<!-- b -->c<textarea>q</textarea>") == [(1, "aA <c")]
 
 
+def test_wrappers_with_furniture_names():
+    for wrapper in ('class="layout has-sidebar"', 'class="page with-comments"', "class=no-sidebar", 'id="page-search"', 'class="sidebar layout"', 'class="layout--has-left-sidebar"'):
+        assert htmldiff.lines_of(f"<div {wrapper}><nav>Menu</nav><article><p>In</p></article></div>") == [(2, "Menu"), (0, "In")], wrapper
+        assert htmldiff.lines_of(f"<p>Open</p><div {wrapper}><div role='main'><p>In</p></div></div>") == [(1, "Open"), (0, "In")], wrapper
+    assert htmldiff.lines_of("<div class='layout has-sidebar'><p>Open</p><div class='sidebar'>Out</div></div>") == [(1, "Open"), (2, "Out")]
+    assert htmldiff.lines_of("<article>In</article><div class='comments'><article>Nice</article></div>") == [(0, "In"), (2, "Nice")]
+    assert htmldiff.lines_of("<p>In</p><div class='related'><article>Teaser</article></div>") == [(1, "In"), (2, "Teaser")]
+    assert htmldiff.lines_of("<nav><article>Menu</article></nav><div role='search'><main>Form</main></div><p>In</p>") == [(2, "Menu"), (2, "Form"), (1, "In")]
+    assert htmldiff.lines_of("<nav class='menu'>a</nav><article><div class='share'>b</div>c</article>") == [(2, "a"), (2, "b"), (0, "c")]
+
+
 def test_differencing_without_markup(spark):
     page = "<div>Home</div><div>About us</div><div>Story {n} alone</div><div>All rights reserved by h</div>"
     rows = [(i, f"http://h.example/p{i:02}", page.format(n=i)) for i in range(25)] + [(99, "http://other.example/p", page.format(n=99))]

@@ -2,7 +2,10 @@
 
 A page becomes lines (its blocks of text) with the kind of place each stands in:
 inside the article, inside parts that are furniture by their tag, role or class
-(menus, notices, adverts, forms, comments), or open. Pages are sorted by host
+(menus, notices, adverts, forms, comments), or open. A name is weaker than a tag,
+a role or being hidden: an article in an element that is furniture by name alone
+is an article, but in comments, adverts and lists of other pages only ``main``
+is, or any if the page has no other text outside furniture. Pages are sorted by host
 and URL path, so that neighbours are the pages with the nearest URLs. The lines
 outside articles of a page and of each neighbour are aligned by longest common
 subsequence, and lines that a neighbour shares are deleted: templates, menus and
@@ -62,8 +65,11 @@ NAMES = re.compile(
     r"footer|site-header|masthead|topbar|comments?|commentlist|disqus|respond|replies|share|sharing|social|related|recommended|subscribe|newsletter|signup|login|search|widget|pagination|pager|skip-link)(?=$|[\s_-])",
     re.I,
 )
+CARDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|comments?|commentlist|disqus|respond|replies|related|recommended|sidebar|widget)(?=$|[\s_-])", re.I)
+ABOUT = re.compile(r"(?<![a-z0-9])(?:has|with|without|no)[_-]\S*", re.I)  # what a wrapper has inside, not what it is
 BODY_NAMES = re.compile(r"(?:^|\s)(?:article|article-body|article-content|entry-content|main-content|post-body|post-content|story-body)(?=$|\s)", re.I)
 ARTICLE, OPEN, CHROME = 0, 1, 2
+NAMED, CARD, NESTED = 3, 4, 5  # while a page is read: furniture by name, of the CARDS, and articles in the latter
 BROADCAST_LINES = 1_000_000  # four bytes each, and 16 for a page
 
 
@@ -112,18 +118,22 @@ def lines_of(page: str) -> list[tuple[int, str]]:
             continue
         inner = place
         if place != CHROME:
-            if name in FURNITURE or (name == "header" and place != ARTICLE) or (attributes and _is_furniture(name, attributes)):
+            named = _furniture_by_name(name, attributes) if attributes else None
+            if name in FURNITURE or (name == "header" and place not in (ARTICLE, NESTED)) or (attributes and _is_furniture(name, attributes)):
                 inner = CHROME
+            elif named:
+                inner = max(named, place if place in (NAMED, CARD) else 0)
             elif name in CONTENT or (attributes and _is_content(attributes)):
-                inner = ARTICLE
+                inner = NESTED if place in (CARD, NESTED) and not _is_main(name, attributes) else ARTICLE
         if name == "p" and stack and stack[-1][0] == "p":  # an open paragraph ends where the next begins
             place = stack.pop()[1]
-            inner = place if inner == place or inner != CHROME else inner
+            inner = place if inner == place or inner not in (CHROME, NAMED, CARD) else inner
         if not attributes.rstrip().endswith("/"):
             stack.append((name, place))
             place = inner
     flush()
-    return out
+    nested = CHROME if any(p in (ARTICLE, OPEN) for p, _ in out) else ARTICLE
+    return [(nested if p == NESTED else min(p, CHROME), text) for p, text in out]
 
 
 def _is_furniture(name: str, attributes: str) -> bool:
@@ -133,13 +143,24 @@ def _is_furniture(name: str, attributes: str) -> bool:
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "role" and value.lower() in ROLES:
             return True
-        if key in ("class", "id") and name not in CONTENT and NAMES.search(value):
-            return True
         if key == "aria-hidden" and value.lower() == "true" or key == "style" and "display:none" in value.replace(" ", "").lower():
             return True
     return bool(re.search(r"(?:^|\s)hidden(?=\s|$|=)", attributes))
 
 
+def _furniture_by_name(name: str, attributes: str) -> int | None:
+    if name in CONTENT or name in ("body", "html"):
+        return None
+    values = [ABOUT.sub("", m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id")]
+    if not any(map(NAMES.search, values)):
+        return None
+    return CARD if any(map(CARDS.search, values)) else NAMED
+
+
+def _is_main(name: str, attributes: str) -> bool:
+    return name == "main" or any(m[1].lower() == "role" and (m[2] or m[3] or m[4] or "").lower() == "main" for m in ATTRIBUTE.finditer(attributes))
+
+
 def _is_content(attributes: str) -> bool:
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
