@@ -365,3 +365,14 @@ def test_word_ids_are_the_tokenizers():
     for _ in range(3000):
         text = "".join(rng.choice([*"aABcdÉ́eh  \n\té日0123,.!$<'s\xa0　Σ İ", "<|endoftext|>", "<|ENDOFTEXT|>", "'re", ".,!"]) for _ in range(rng.randrange(25)))
         assert np.frombuffer(ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_rare_languages_are_learned(spark):
+    rng = random.Random(8)
+    pools = {"aa": "the of and to in is that it was for".split(), "bb": "der die und von zu das mit sich auf ist".split()}
+    rows = [(i, words(rng, 12, pools["aa"]), "aa") for i in range(1000)] + [(2000 + i, words(rng, 12, pools["bb"]), "bb") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, tokencount.vocabulary(queries.PIECES), max_docs=100)
+    assert model.languages == ["aa", "bb"] and np.allclose(np.exp(model.prior), [1000 / 1002, 2 / 1002])
+    assert {r.lang_pred for r in langid.predict(docs.where("lang = 'bb'"), model).collect()} == {"bb"}
+    assert langid.level([1000, 2], 100) == 98 and langid.level([10, 20], 100) == 50 and langid.level([4000] * 4, 8000) == 2000

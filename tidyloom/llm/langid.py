@@ -195,26 +195,36 @@ def scorer_of(model: Model) -> Scorer:
     return resident(("scorer", model.key), lambda: Scorer(model))
 
 
+def level(counts: list[int], most: int) -> int:
+    """The bound a language under which bounded counts sum to ``most``; 50 at least."""
+    left = most
+    for k, n in enumerate(sorted(counts)):
+        if n * (len(counts) - k) > left:
+            return max(50, left // (len(counts) - k))
+        left -= n
+    return max([50, *counts])
+
+
 def train(labelled: DataFrame, vocabulary: str, max_docs: int = 8_000, rounds: int = 3, smoothing: float = 0.02) -> Model:
-    """labelled: doc_id, text, lang; rows with a null among text and lang are left out."""
+    """labelled: doc_id, text, lang; rows with a null among text and lang are left out.
+    Languages and priors come from all rows, words from a sample of about
+    ``max_docs``, of which no language gets less than all or an equal part."""
     labelled = labelled.select("doc_id", "text", "lang").where("text is not null and lang is not null")
-    total = labelled.count()
-    share = min(1.0, max_docs / max(total, 1))
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
+    documents = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    most = level(list(documents.values()), max_docs)
+    shares = labelled.sparkSession.createDataFrame([(x, min(1 << 20, (most << 20) // n)) for x, n in documents.items()], "lang string, below int")
+    sample = labelled.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 20)) < F.col("below")).select("doc_id", "text", "lang")
 
     def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         release()
         for batch in batches:
             counts: dict[str, Counter] = {}
-            documents = Counter(batch["lang"])
             for text, lang in zip(batch["text"], batch["lang"]):
                 counts.setdefault(lang, Counter()).update(words_of(text))
             rows = [(lang, w, float(n)) for lang, c in counts.items() for w, n in c.items()]
-            rows += [(lang, None, float(n)) for lang, n in documents.items()]
             yield pd.DataFrame(rows, columns=["lang", "word", "n"])
 
     counted = stash(lean(sample).mapInPandas(count, "lang string, word string, n double").groupBy("lang", "word").agg(F.sum("n").alias("n")), "langwords")
-    documents = {r["lang"]: r["n"] for r in counted.where("word is null").collect()}
     languages = sorted(documents)
     table = piece_table(vocabulary)
     probability = np.full((table.size, len(languages)), 1.0 / table.size)
@@ -241,7 +251,7 @@ def train(labelled: DataFrame, vocabulary: str, max_docs: int = 8_000, rounds: i
                 used = np.flatnonzero(gained > 0)
                 yield pd.DataFrame({"lang": lang, "piece": used.astype(np.int32), "n": gained[used]})
 
-        rows = counted.where("word is not null").mapInPandas(expect, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
+        rows = counted.mapInPandas(expect, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
         gained = np.full((table.size, len(languages)), smoothing)
         gained[rows["piece"], rows["lang"].map(column)] += rows["n"]
         probability = gained / gained.sum(0)
