@@ -376,3 +376,9 @@ def test_rare_languages_are_learned(spark):
     assert model.languages == ["aa", "bb"] and np.allclose(np.exp(model.prior), [1000 / 1002, 2 / 1002])
     assert {r.lang_pred for r in langid.predict(docs.where("lang = 'bb'"), model).collect()} == {"bb"}
     assert langid.level([1000, 2], 100) == 98 and langid.level([10, 20], 100) == 50 and langid.level([4000] * 4, 8000) == 2000
+
+
+def test_documents_stay_without_a_model(spark):
+    docs = spark.createDataFrame([(1, "some clean text", None), (2, "12 !!", None), (3, None, None), (4, "", None)], "doc_id long, text string, lang string")
+    kept = langid.keep_identified(docs, tokencount.vocabulary(queries.PIECES))
+    assert [r.doc_id for r in kept.collect()] == [1]

@@ -130,6 +130,10 @@ def words_of(text: str) -> list[str]:
     return words
 
 
+def lettered(text: str | None, words: Sequence[str]) -> bool:
+    return bool(words) and any(map(str.isalpha, text))
+
+
 def by_length(words: Iterable[str], most: int = 20_000) -> Iterator[list[str]]:
     groups: dict[int, list[str]] = {}
     for w in words:
@@ -181,7 +185,7 @@ class Scorer:
             documents = [words_of(t) if isinstance(t, str) else [] for t in texts[i : i + 200]]
             self.learn(set().union(*documents))
             for text, words in zip(texts[i : i + 200], documents):
-                if not words or not self.model.languages or not any(map(str.isalpha, text)):
+                if not self.model.languages or not lettered(text, words):
                     out.append((UNDETERMINED, 0.0))
                     continue
                 logs = self.model.prior + self.logs[np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))].sum(0)
@@ -286,13 +290,19 @@ def identify(docs: DataFrame, vocabulary: str, max_docs: int = 8_000) -> DataFra
 
 
 def keep_identified(docs: DataFrame, vocabulary: str, max_docs: int = 8_000) -> DataFrame:
-    """docs without the rows whose language can't be told; all columns stay."""
+    """docs without the rows whose language can't be told, those without letters;
+    all columns stay. Without a labelled row there is no model, but the same rows
+    stay."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, vocabulary, max_docs))
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of(model.value)
         for batch in batches:
-            found = scorer.predict(batch["text"].to_pylist())
-            yield batch.filter(pa.array([x != UNDETERMINED for x, _ in found], pa.bool_()))
+            texts = batch["text"].to_pylist()
+            if model.value.languages:
+                kept = [x != UNDETERMINED for x, _ in scorer.predict(texts)]
+            else:
+                kept = [isinstance(t, str) and lettered(t, words_of(t)) for t in texts]
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
     return lean(docs).mapInArrow(rows, docs.schema)
