@@ -36,7 +36,9 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.cut_repeats(table(spark, sf_dir, "documents"), length=400).drop("kept")
+    """text is what remains; a character that a cut divides is replaced."""
+    found = repeats.cut_repeats(table(spark, sf_dir, "documents"), length=400)
+    return found.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

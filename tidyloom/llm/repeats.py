@@ -8,8 +8,10 @@ is exact and has three parts.
    bytes depends on the window's bytes alone, so equal windows meet under it.
    Neighbouring windows with the same smallest hash form a run; the runs cover
    every window of a document once. Runs whose hash occurs at one place in the
-   corpus are done. Runs that equal another run to the byte (copies) are repeated as a
-   whole and stand for each other from here on.
+   corpus are done. Runs that equal another run (copies, told by two hashes of 64
+   bits, of the whole run and of its smallest short string) are repeated as a
+   whole and stand for each other from here on: of a passage with thousands of
+   copies one goes into the index.
 2. Run-length index. The distinct runs that share a hash go to index batches of
    bounded size. A batch's Burrows-Wheeler transform is run-compressed and keeps
    the suffix positions at its run ends only. Matching statistics (the longest
@@ -264,11 +266,12 @@ def with_content(docs: DataFrame) -> DataFrame:
 
 
 def run_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """hash, same, data of the wanted runs (doc_id, content, hash, same, start, windows)."""
-    lists = wanted.groupBy(F.col("doc_id").alias("__id"), F.col("content").alias("__content")).agg(F.collect_list(F.struct("hash", "same", "start", "windows")).alias("__runs"))
+    """hash, same, bytes, data of the wanted runs (doc_id, content, hash, same,
+    start, windows, bytes); one row a run, as a repeated row gives its runs again."""
+    lists = wanted.groupBy(F.col("doc_id").alias("__id"), F.col("content").alias("__content")).agg(F.collect_list(F.struct("hash", "same", "start", "windows", "bytes")).alias("__runs"))
     joined = with_content(docs).join(lists, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("content") == F.col("__content")))
     cut = joined.select(F.col("text").cast("binary").alias("data"), F.explode("__runs").alias("r"))
-    return cut.select("r.hash", "r.same", F.expr(f"substring(data, r.start + 1, r.windows + {length - 1})").alias("data")).dropDuplicates(["hash", "same"])
+    return cut.select("r.hash", "r.same", "r.bytes", F.expr(f"substring(data, r.start + 1, r.windows + {length - 1})").alias("data")).dropDuplicates(["hash", "same"])
 
 
 def marks(docs: DataFrame, length: int, batch_bytes: int) -> DataFrame:
@@ -277,13 +280,14 @@ def marks(docs: DataFrame, length: int, batch_bytes: int) -> DataFrame:
     distinct = stash(
         runs.groupBy("hash", "same").agg(F.count(F.lit(1)).alias("n"), F.max("looped").alias("looped"), F.min(F.struct("doc_id", "content", "start", "windows")).alias("at")), "distinct"
     )
-    hashes = distinct.groupBy("hash").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.max("looped").alias("any"), F.sum(F.col("at.windows") + F.lit(length)).alias("bytes"))
-    mixed = stash(distinct.join(hashes.where("kinds > 1 or any"), "hash").select("hash", "same", "n", "at.*", "bytes"), "mixed")
+    hashes = distinct.groupBy("hash").agg(F.count(F.lit(1)).alias("kinds"), F.max("looped").alias("any"), F.sum(F.col("at.windows") + F.lit(length)).alias("bytes"))
+    met = stash(hashes.where("kinds > 1 or any").select("hash", "bytes"), "met")  # written, so that the join below can split a hash that very many runs share
+    mixed = stash(distinct.join(met, "hash").select("hash", "same", "at.*", "bytes"), "mixed")
     whole = distinct.where("n > 1").select("hash", "same", F.lit(0).cast("long").alias("a"), F.col("at.windows").cast("long").alias("b"))
     total = mixed.agg(F.sum(F.col("windows") + F.lit(length))).first()[0] or 0
     found = whole
     if total:
-        data = stash(run_bytes(docs, mixed.select("doc_id", "content", "hash", "same", "start", "windows"), length).join(hashes.select("hash", "bytes"), "hash"), "rundata")
+        data = stash(run_bytes(docs, mixed, length), "rundata")
         batches = max(1, -(-int(total) // batch_bytes))
         crowded = F.col("bytes") > F.lit(4 * batch_bytes)
         indexed = (
@@ -294,6 +298,7 @@ def marks(docs: DataFrame, length: int, batch_bytes: int) -> DataFrame:
             .applyInPandas(_index_batch(length), "hash long, same long, a long, b long")
         )
         found = whole.unionByName(indexed).unionByName(_crowded(data.where(crowded), length))
+    found = stash(found, "found")
     joined = runs.join(found, ["hash", "same"])
     return joined.select("doc_id", "content", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
 
