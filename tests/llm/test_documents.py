@@ -284,6 +284,50 @@ def test_forward_sums_all_segmentations():
             assert np.isclose(total[k], brute_forward("▁" + word, known))
 
 
+def test_forward_of_words_of_any_length():
+    from decimal import Decimal
+
+    table = langid.piece_table(tokencount.vocabulary(queries.PIECES))
+    rng = np.random.default_rng(1)
+    p = rng.random((table.size, 2)) / table.size
+    for word in ("the", "Ж" * 64, "ontheroad" * 56):  # 504 letters, far below the smallest double
+        edges = list(table.edges("▁" + word))
+        got = langid.log_sums(edges, len(word) + 1, np.log(p))
+        assert np.allclose(got[-1], langid.log_sums(edges, len(word) + 1, np.log(p), reverse=True)[0])
+        for k in range(2):
+            alpha = [Decimal(1)] + [Decimal(0)] * (len(word) + 1)
+            for end in range(1, len(word) + 2):
+                for start in range(max(0, end - table.longest), end):
+                    piece = ("▁" + word)[start:end]
+                    if piece in table.ids or end - start == 1:
+                        alpha[end] += alpha[start] * Decimal(float(p[table.ids.get(piece, table.unknown), k]))
+            assert abs(float(alpha[-1].ln()) - got[-1, k]) < 1e-6 * abs(got[-1, k])
+
+
+def test_long_words_and_ties(spark):
+    docs = spark.createDataFrame([(1, "q" * 3000 + " the cat", "aa"), (2, "ü" * 3000 + " der hund", "bb"), (3, "Ж" * 100_000, None), (4, "q" * 90_000, None)], "doc_id long, text string, lang string")
+    model = langid.train(docs, tokencount.vocabulary(queries.PIECES))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, model).collect()}
+    assert got[1][0] == got[4][0] == "aa" and got[2][0] == "bb"
+    same = spark.createDataFrame([(1, "one text", "bb"), (2, "one text", "aa")], "doc_id long, text string, lang string")
+    ties = langid.predict(same, langid.train(same, tokencount.vocabulary(queries.PIECES))).collect()
+    assert all(r.lang_pred == "aa" and abs(r.score - 0.5) < 1e-9 for r in ties)
+    assert langid.identify(same.limit(0), tokencount.vocabulary(queries.PIECES)).count() == 0
+    assert langid.keep_identified(same.limit(0), tokencount.vocabulary(queries.PIECES)).count() == 0
+
+
+def test_language_stage_rejects_what_no_language_fits(spark):
+    rng = random.Random(10)
+    pools = {"en": "the of and to in is that it was for on with as his they be at one have this".split(), "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als".split()}
+    data = [(i, words(rng, 30, pools[lang]), lang) for i, lang in enumerate(["en", "de"] * 100)]
+    gibberish = " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxyz") for _ in range(6)) for _ in range(30))
+    bad = [(900, gibberish, None), (901, "правительство объявило сегодня о новых правилах", None), (902, words(rng, 30, pools["de"]), "en"), (903, words(rng, 30, pools["en"]), "de")]
+    good = [(910, words(rng, 30, pools["en"]), None), (911, "the", "en"), (912, "the", None)]
+    docs = spark.createDataFrame(data + bad + good, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in langid.keep_identified(docs, tokencount.vocabulary(queries.PIECES)).collect()}
+    assert kept == {i for i, _, _ in data + good}
+
+
 def test_language_id(spark):
     rng = random.Random(10)
     pools = {"en": "the of and to in is that it was for on with as his they be at one have this".split(), "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als".split()}

@@ -3,8 +3,11 @@
 Every language has a probability for each piece of a fixed public vocabulary.
 A word's probability is the sum, over all its segmentations into pieces, of the
 products of the pieces' probabilities; a forward pass computes that sum. Words
-are runs of letters, lower-cased, each with the vocabulary's word-start mark; no
-piece leaves a word, so a text's probability is the product of its words'.
+are runs of letters, each with the vocabulary's word-start mark, and words as
+well as pieces are lower-cased, so the vocabulary that is used is the public one
+without its case and without pieces that hold anything but letters. No piece
+leaves a word, so a text's probability is the product of its words'. The sums
+are kept as logarithms where a word is long, so a word of any length counts.
 
 Training is expectation maximisation on labelled texts: a bounded sample of
 about ``max_docs`` training rows (``max_docs`` is the documented parameter; rows
@@ -14,8 +17,15 @@ bounded by vocabulary times languages.
 
 Prediction is one narrow pass over whole texts. A null text, or one without a
 letter, is ``und`` with score 0; so is everything when there is no labelled row.
-Ties go to the language first in code-point order. Only doc_id, text and, for
-training, lang are read; other columns are ignored.
+Languages that explain a text equally well are a tie, which goes to the language
+first in code-point order, and the score says how little that means (1 over
+the number of languages if all tie). An empty table gives an empty result. Only
+doc_id, text and, for training, lang are read; other columns are ignored.
+
+``keep_identified`` also asks whether any learned language fits. The pieces'
+uniform distribution stands for every other language: a text that it explains
+better than the best language by over ``margin`` nats is in none of them, and a
+text whose own label another language beats by over ``margin`` nats is mislabelled.
 """
 
 from __future__ import annotations
@@ -36,7 +46,8 @@ from tidyloom.llm._shared import discard, lean, release, resident, stash
 START = "▁"
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
-LONGEST = 64  # longer runs of letters are scored in parts of this length
+SHORT = 24  # letters up to which probabilities stay far from the smallest double
+MARGIN = 20.0  # nats of evidence against a text before it is rejected
 
 
 class PieceTable:
@@ -57,32 +68,33 @@ class PieceTable:
         self.longest = max(map(len, pieces))
         self.prefixes = {p[:n] for p in pieces for n in range(1, len(p))}
 
+    def edges(self, word: str) -> Iterator[tuple[int, int, int]]:
+        """(start, end, piece id) of every piece in the marked word, by start."""
+        ids, prefixes, longest, n = self.ids, self.prefixes, self.longest, len(word)
+        for i in range(n):
+            alone = word[i]
+            yield i, i + 1, ids.get(alone, self.unknown)
+            if alone not in prefixes:
+                continue
+            for j in range(i + 2, min(n, i + longest) + 1):
+                part = word[i:j]
+                if (piece := ids.get(part)) is not None:
+                    yield i, j, piece
+                if part not in prefixes:
+                    break
+
     def lattice(self, words: Sequence[str]) -> np.ndarray:
         """Piece ids by word, start and length - 1 of words that are equally
         long; -1 where no piece is."""
         n = len(words[0]) + 1
         found = np.full((len(words), n, min(n, self.longest)), -1, np.int32)
-        ids, prefixes, longest = self.ids, self.prefixes, self.longest
         at_word, at_start, at_length, values = [], [], [], []
         for k, word in enumerate(words):
-            word = START + word
-            for i in range(n):
-                alone = word[i]
+            for i, j, piece in self.edges(START + word):
                 at_word.append(k)
                 at_start.append(i)
-                at_length.append(0)
-                values.append(ids.get(alone, self.unknown))
-                if alone not in prefixes:
-                    continue
-                for j in range(i + 2, min(n, i + longest) + 1):
-                    part = word[i:j]
-                    if (piece := ids.get(part)) is not None:
-                        at_word.append(k)
-                        at_start.append(i)
-                        at_length.append(j - i - 1)
-                        values.append(piece)
-                    if part not in prefixes:
-                        break
+                at_length.append(j - i - 1)
+                values.append(piece)
         found[at_word, at_start, at_length] = values
         return found
 
@@ -114,6 +126,21 @@ def backward(lattice: np.ndarray, probability: np.ndarray) -> np.ndarray:
     return beta
 
 
+def log_sums(edges: Sequence[tuple[int, int, int]], n: int, logs: np.ndarray, reverse: bool = False) -> np.ndarray:
+    """Of one word of any length, by place and language: the logarithm of what
+    ``forward`` sums, or ``backward`` if reverse. logs: log probability by piece."""
+    arriving: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
+    for i, j, piece in edges:
+        arriving[i if reverse else j].append((j if reverse else i, piece))
+    out = np.zeros((n + 1, logs.shape[1]))
+    for at in range(n - 1, -1, -1) if reverse else range(1, n + 1):
+        before, pieces = zip(*arriving[at])
+        terms = out[list(before)] + logs[list(pieces)]
+        most = terms.max(0)
+        out[at] = most + np.log(np.exp(terms - most).sum(0))
+    return out
+
+
 _tables: dict[str, PieceTable] = {}
 
 
@@ -124,10 +151,7 @@ def piece_table(path: str) -> PieceTable:
 
 
 def words_of(text: str) -> list[str]:
-    words = WORD.findall(text.lower())
-    if any(len(w) > LONGEST for w in words):
-        words = [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
-    return words
+    return WORD.findall(text.lower())
 
 
 def lettered(text: str | None, words: Sequence[str]) -> bool:
@@ -153,18 +177,19 @@ class Model:
 
 
 class Scorer:
-    """Log probabilities of words, kept for words that come again; at most
-    ``limit`` words at a time."""
+    """Log probabilities of words by language, and last by the uniform
+    distribution, kept for words that come again; at most ``limit`` at a time."""
 
     def __init__(self, model: Model, limit: int = 200_000):
         self.model, self.limit = model, limit
         self.table = piece_table(model.vocabulary)
-        self.probability = np.vstack([model.probability, np.zeros((1, len(model.languages)))])
+        known = np.hstack([model.probability, np.full((self.table.size, 1), 1.0 / self.table.size)])
+        self.probability, self.log_probability = np.vstack([known, np.zeros((1, known.shape[1]))]), np.log(known)
         self._clear()
 
     def _clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.logs = np.zeros((0, len(self.model.languages)))
+        self.logs = np.zeros((0, len(self.model.languages) + 1))
 
     def learn(self, words: set[str]) -> None:
         new = words - self.index.keys()
@@ -175,22 +200,46 @@ class Scorer:
         for group in by_length(sorted(new)):
             for w in group:
                 self.index[w] = len(self.index)
-            total = forward(self.table.lattice(group), self.probability)[:, -1]
-            rows.append(np.log(np.maximum(total, 1e-300)))
+            if len(group[0]) <= SHORT:
+                rows.append(np.log(forward(self.table.lattice(group), self.probability)[:, -1]))
+            else:
+                rows += [log_sums(self.table.edges(START + w), len(w) + 1, self.log_probability)[-1:] for w in group]
         self.logs = np.concatenate(rows)
 
-    def predict(self, texts: Sequence[str | None]) -> list[tuple[str, float]]:
-        out: list[tuple[str, float]] = []
+    def evidence(self, texts: Sequence[str | None]) -> Iterator[np.ndarray | None]:
+        """Of each text the log probabilities by language, priors included, and
+        by the uniform distribution; None if it has no letter."""
         for i in range(0, len(texts), 200):
             documents = [words_of(t) if isinstance(t, str) else [] for t in texts[i : i + 200]]
             self.learn(set().union(*documents))
             for text, words in zip(texts[i : i + 200], documents):
-                if not self.model.languages or not lettered(text, words):
-                    out.append((UNDETERMINED, 0.0))
+                if not lettered(text, words):
+                    yield None
                     continue
-                logs = self.model.prior + self.logs[np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))].sum(0)
-                best = int(logs.argmax())
-                out.append((self.model.languages[best], float(1.0 / np.exp(logs - logs[best]).sum())))
+                logs = self.logs[np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))].sum(0)
+                logs[:-1] += self.model.prior
+                yield logs
+
+    def predict(self, texts: Sequence[str | None]) -> list[tuple[str, float]]:
+        out: list[tuple[str, float]] = []
+        for logs in self.evidence(texts):
+            if logs is None or not self.model.languages:
+                out.append((UNDETERMINED, 0.0))
+                continue
+            best = int(logs[:-1].argmax())
+            out.append((self.model.languages[best], float(1.0 / np.exp(logs[:-1] - logs[best]).sum())))
+        return out
+
+    def accepts(self, texts: Sequence[str | None], labels: Sequence[str | None], margin: float) -> list[bool]:
+        """Whether a learned language fits each text, and its label, if it has one."""
+        at = {lang: k for k, lang in enumerate(self.model.languages)}
+        out = []
+        for logs, label in zip(self.evidence(texts), labels):
+            if logs is None or not at:
+                out.append(logs is not None)
+                continue
+            best = float(logs[:-1].max())
+            out.append(logs[-1] - best <= margin and (label not in at or best - logs[at[label]] <= margin))
         return out
 
 
@@ -234,7 +283,7 @@ def train(labelled: DataFrame, vocabulary: str, max_docs: int = 8_000, rounds: i
     probability = np.full((table.size, len(languages)), 1.0 / table.size)
     column = {lang: k for k, lang in enumerate(languages)}
     for _ in range(rounds if languages else 0):
-        current = np.vstack([probability, np.zeros((1, len(languages)))])
+        current, logs = np.vstack([probability, np.zeros((1, len(languages)))]), np.log(probability)
 
         def expect(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             pieces = piece_table(vocabulary)
@@ -245,11 +294,19 @@ def train(labelled: DataFrame, vocabulary: str, max_docs: int = 8_000, rounds: i
                     times = dict(zip(rows["word"], rows["n"]))
                     p = current[:, [column[lang]]]
                     for group in by_length(times, 5_000):
+                        if len(group[0]) > SHORT:
+                            for w in group:
+                                edges, n, own = list(pieces.edges(START + w)), len(w) + 1, logs[:, [column[lang]]]
+                                alpha, beta = log_sums(edges, n, own)[:, 0], log_sums(edges, n, own, reverse=True)[:, 0]
+                                i, j, piece = np.array(edges).T
+                                share = np.exp(alpha[i] + own[piece, 0] + beta[j] - alpha[-1])
+                                gained += np.bincount(piece, weights=times[w] * share, minlength=pieces.size)
+                            continue
                         lattice = pieces.lattice(group)
                         alpha, beta = forward(lattice, p)[:, :, 0], backward(lattice, p)[:, :, 0]
                         k, i, j = np.nonzero(lattice >= 0)
                         piece = lattice[k, i, j]
-                        weight = np.array([times[w] for w in group]) / np.maximum(alpha[:, -1], 1e-300)
+                        weight = np.array([times[w] for w in group]) / alpha[:, -1]
                         gained += np.bincount(piece, weights=weight[k] * alpha[k, i] * p[piece, 0] * beta[k, i + j + 1], minlength=pieces.size)
             for lang, gained in gathered.items():
                 used = np.flatnonzero(gained > 0)
@@ -289,20 +346,15 @@ def identify(docs: DataFrame, vocabulary: str, max_docs: int = 8_000) -> DataFra
     return predict(docs, model).select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, vocabulary: str, max_docs: int = 8_000) -> DataFrame:
-    """docs without the rows whose language can't be told, those without letters;
-    all columns stay. Without a labelled row there is no model, but the same rows
-    stay."""
+def keep_identified(docs: DataFrame, vocabulary: str, max_docs: int = 8_000, margin: float = MARGIN) -> DataFrame:
+    """docs without the rows that the model rejects: no letters, in none of the
+    learned languages, or labelled with one that another beats; all columns
+    stay. Without a labelled row there is no model, and rows with letters stay."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, vocabulary, max_docs))
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of(model.value)
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            if model.value.languages:
-                kept = [x != UNDETERMINED for x, _ in scorer.predict(texts)]
-            else:
-                kept = [isinstance(t, str) and lettered(t, words_of(t)) for t in texts]
-            yield batch.filter(pa.array(kept, pa.bool_()))
+            yield batch.filter(pa.array(scorer.accepts(batch["text"].to_pylist(), batch["lang"].to_pylist(), margin), pa.bool_()))
 
     return lean(docs).mapInArrow(rows, docs.schema)
