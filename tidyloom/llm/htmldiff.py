@@ -1,31 +1,38 @@
 """Main text by nearest-URL page differencing.
 
 A page becomes lines (its blocks of text) with the kind of place each stands in:
-inside the article, inside parts that are furniture by their tag, role or class
-(menus, notices, adverts, forms, comments), or open. A name is weaker than a tag,
-a role or being hidden: an article in an element that is furniture by name alone
-is an article, but in comments, adverts and lists of other pages only ``main``
-is, or any if the page has no other text outside furniture. Pages are sorted by host
-and URL path, so that neighbours are the pages with the nearest URLs. The lines
-outside articles of a page and of each neighbour are aligned by longest common
-subsequence, and lines that a neighbour shares are deleted: templates, menus and
-footers, however they are marked. What is left of a page is its article, where it
-marks one, and its open lines that no neighbour shares. Lines of furniture go in
-any case, as hosts vary them from page to page; lines of an article stay, also
-where a copy of the article is next door.
+an article, furniture by its tag, its role or being hidden (menus, forms), parts
+that only a class or id calls furniture (adverts, comments), or open. Pages are
+sorted by host and URL path, so that neighbours are the pages with the nearest
+URLs. All lines of a page and of each neighbour are aligned by longest common
+subsequence, and lines that are shared are deleted:
+
+- open lines that either neighbour shares: templates, however they are marked;
+- lines of an article that both neighbours share ("Share this story"), unless
+  those are half of it or more: then the neighbours are its near copies;
+- lines of furniture by tag or role go in any case, as hosts vary them from page
+  to page. So do parts that are furniture by name alone, if the page has other
+  text left; if it has none, the name misleads and differencing decides there.
+
+An article in an element that is furniture by name alone is an article, but in
+comments, adverts and lists of other pages only ``main`` is, or any if the page
+has no other text outside furniture. Names count if a class or id is made of
+them, not if it merely contains one ("social-links", not "social-science").
 
 The sort is a range partitioning, so a host of any size is spread over many
-tasks, and neighbours meet over a partition's edge: the first and last page of
-each partition, two for a partition, are handed to the partitions beside it.
-Texts stay where they are; lines' digests are sorted and compared. Copies of a
-page, those with the same lines outside furniture, are passed over for the
-nearest page that differs, as between copies the whole body would be shared,
-whatever menu or advert each has.
+tasks. Copies of a page, those with the same lines outside furniture, are passed
+over for the nearest page that differs, as between copies the whole body would
+be shared, whatever menu or advert each has. That page may lie behind any number
+of partitions: each partition names its outermost pages of two bodies, a window
+over these few finds for every edge the page beyond it, and a join brings its
+lines' digests over. Results don't depend on where partitions end. Texts stay
+where they are; lines' digests are sorted and compared.
 
 Character references are decoded, white space inside a block (HTML's and any
 other) becomes one space, blocks are joined by a line end. A null html is empty,
-a page without text gives an empty string. Null and repeated urls and page_ids
-sort like any value. Columns other than page_id, url and html are ignored.
+a page without text gives an empty string. Pages without a host in their url
+(null, not a url) have no neighbours. Repeated rows are copies. An empty table
+gives an empty result. Columns other than page_id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -35,9 +42,11 @@ import re
 from collections.abc import Iterable, Iterator, Sequence
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidyloom.llm._shared import lean, stash
 
@@ -60,21 +69,32 @@ BLOCK = {
     "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "br",
 }
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|popup|modal|overlay|nav|navbar|navigation|menu|breadcrumbs?|sidebar|"
-    r"footer|site-header|masthead|topbar|comments?|commentlist|disqus|respond|replies|share|sharing|social|related|recommended|subscribe|newsletter|signup|login|search|widget|pagination|pager|skip-link)(?=$|[\s_-])",
-    re.I,
-)
-CARDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|comments?|commentlist|disqus|respond|replies|related|recommended|sidebar|widget)(?=$|[\s_-])", re.I)
+_CARD = r"ads?|advert|adverts|advertisement|adsense|sponsor|sponsored|sponsors|promos?|promotion|comments?|commentlist|disqus|respond|replies|related|recommended|sidebar|widgets?"
+_NAME = _CARD + r"|banner|cookies?|consent|gdpr|notices?|popup|modal|overlay|nav|navbar|navigation|menu|breadcrumbs?|footer|masthead|topbar|share|sharing|social|subscribe|newsletter|signup|login|search|pagination|pager|skip-link|site-header"
+_AROUND = r"site|page|main|top|bottom|left|right|primary|secondary|global|bar|box|container|wrapper|block|section|area|list|links?|form|icons?|buttons?|inner|row|item|message|[0-9]+"
+
+
+def _made_of(names: str) -> re.Pattern:
+    """A class or id that holds one of the names, and else but such words."""
+    return re.compile(rf"(?:^|\s)(?:(?:{_AROUND}|{_NAME})[_-]+)*(?:{names})(?:[_-]+(?:{_AROUND}|{_NAME}))*(?=$|\s)", re.I)
+
+
+NAMES, CARDS = _made_of(_NAME), _made_of(_CARD)
 ABOUT = re.compile(r"(?<![a-z0-9])(?:has|with|without|no)[_-]\S*", re.I)  # what a wrapper has inside, not what it is
 BODY_NAMES = re.compile(r"(?:^|\s)(?:article|article-body|article-content|entry-content|main-content|post-body|post-content|story-body)(?=$|\s)", re.I)
 ARTICLE, OPEN, CHROME = 0, 1, 2
-NAMED, CARD, NESTED = 3, 4, 5  # while a page is read: furniture by name, of the CARDS, and articles in the latter
+NAMED, CARD, NESTED = 3, 4, 5  # furniture by name, of the CARDS, and while a page is read articles in the latter
 BROADCAST_LINES = 1_000_000  # four bytes each, and 16 for a page
 
 
 def lines_of(page: str) -> list[tuple[int, str]]:
-    """(place, text) of each block, in page order."""
+    """(place, text) of each block, in page order; furniture is furniture,
+    whether by tag or by name."""
+    return [(min(p, CHROME), text) for p, text in placed_lines(page)]
+
+
+def placed_lines(page: str) -> list[tuple[int, str]]:
+    """The same, with furniture by name told apart (NAMED and CARD)."""
     out: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = []  # open elements and the place outside them
     place, parts = OPEN, []
@@ -133,7 +153,7 @@ def lines_of(page: str) -> list[tuple[int, str]]:
             place = inner
     flush()
     nested = CHROME if any(p in (ARTICLE, OPEN) for p, _ in out) else ARTICLE
-    return [(nested if p == NESTED else min(p, CHROME), text) for p, text in out]
+    return [(nested if p == NESTED else p, text) for p, text in out]
 
 
 def _is_furniture(name: str, attributes: str) -> bool:
@@ -169,6 +189,52 @@ def _is_content(attributes: str) -> bool:
     return False
 
 
+def _rows(a: Sequence[int], b: Sequence[int]) -> Iterator[int]:
+    """After each symbol of a a number whose bit j is 0 where the longest common
+    subsequence with b[: j + 1] is longer than with b[:j]."""
+    at: dict[int, int] = {}
+    for j, x in enumerate(b):
+        at[x] = at.get(x, 0) | 1 << j
+    full = row = (1 << len(b)) - 1
+    for x in a:
+        both = row & at.get(x, 0)
+        row = (row + both | row - both) & full
+        yield row
+
+
+def _lengths(a: Sequence[int], b: Sequence[int]) -> np.ndarray:
+    """Lengths of the longest common subsequences of a and b[:j], for every j."""
+    row = 0
+    for row in _rows(a, b):
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(bits == 0)])
+
+
+def aligned(a: Sequence[int], b: Sequence[int], most_bits: int = 1 << 26) -> list[int]:
+    """Indices of a in a longest common subsequence with b. Rows are kept while
+    they fit ``most_bits``; longer pairs are halved where the lengths from both
+    ends add up to the most, so memory stays linear."""
+    if not a or not b:
+        return []
+    if len(a) > 1 and len(a) * len(b) > most_bits:
+        half = len(a) // 2
+        front, back = _lengths(a[:half], b), _lengths(a[half:][::-1], b[::-1])
+        cut = int((front + back[::-1]).argmax())
+        return aligned(a[:half], b[:cut], most_bits) + [half + i for i in aligned(a[half:], b[cut:], most_bits)]
+    rows, out = list(_rows(a, b)), []
+    i, j = len(a), len(b)
+    while i and j:
+        if rows[i - 1] >> j - 1 & 1:
+            j -= 1
+        else:
+            i -= 1
+            if not i or rows[i - 1] >> j - 1 & 1:
+                out.append(i)
+                j -= 1
+    return out[::-1]
+
+
 def shared_lines(own: Sequence[int], other: Sequence[int]) -> set[int]:
     """Indices of own that a longest common subsequence with other holds."""
     n, m = len(own), len(other)
@@ -178,29 +244,10 @@ def shared_lines(own: Sequence[int], other: Sequence[int]) -> set[int]:
     tail = 0
     while tail < min(n, m) - head and own[n - 1 - tail] == other[m - 1 - tail]:
         tail += 1
-    kept = set(range(head)) | set(range(n - tail, n))
     common = set(own[head : n - tail]) & set(other[head : m - tail])
     a = [i for i in range(head, n - tail) if own[i] in common]
     b = [x for x in other[head : m - tail] if x in common]
-    if not a:
-        return kept
-    table = [[0] * (len(b) + 1)]
-    for i in reversed(a):
-        below, row = table[-1], [0] * (len(b) + 1)
-        for j in range(len(b) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if own[i] == b[j] else max(below[j], row[j + 1])
-        table.append(row)
-    table.reverse()
-    i = j = 0
-    while i < len(a) and j < len(b):
-        if own[a[i]] == b[j]:
-            kept.add(a[i])
-            i, j = i + 1, j + 1
-        elif table[i + 1][j] >= table[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return kept
+    return set(range(head)) | set(range(n - tail, n)) | {a[i] for i in aligned([own[i] for i in a], b)}
 
 
 def _digest(text: str) -> int:
@@ -210,22 +257,22 @@ def _digest(text: str) -> int:
 
 
 def page_keys(pages: DataFrame) -> DataFrame:
-    """page_id, content, host, path, outside (digests of the lines outside
-    articles), body (digest of the lines outside furniture, null if there are
-    none); a narrow pass that leaves the texts behind."""
-    own = {"host": pa.string(), "path": pa.string(), "outside": pa.list_(pa.int64()), "body": pa.int64()}
+    """page_id, content, host, path, lines (digests), inside (which of them are
+    an article's), kind (a digest of the lines outside furniture, or if there are
+    none of all); a narrow pass that leaves the texts behind."""
+    own = {"host": pa.string(), "path": pa.string(), "lines": pa.list_(pa.int64()), "inside": pa.list_(pa.int32()), "kind": pa.int64()}
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for url, page in zip(batch["url"].to_pylist(), batch["html"].to_pylist()):
-                lines = lines_of(page or "")
-                body = [t for p, t in lines if p != CHROME]
-                out.append((*_address(url), [_digest(t) for p, t in lines if p != ARTICLE], _digest("\n".join(body)) if body else None))
+                lines = placed_lines(page or "")
+                body = [t for p, t in lines if p in (ARTICLE, OPEN)]
+                out.append((*_address(url), [_digest(t) for _, t in lines], [i for i, (p, _) in enumerate(lines) if p == ARTICLE], _digest("\n".join(body or [t for _, t in lines]))))
             columns = {c: pa.array([r[i] for r in out], k) for i, (c, k) in enumerate(own.items())}
             yield pa.RecordBatch.from_pydict({"page_id": batch["page_id"], "content": batch["content"]} | columns)
 
-    return lean(pages).mapInArrow(rows, f"page_id {dict(pages.dtypes)['page_id']}, content long, host string, path string, outside array<long>, body long")
+    return lean(pages).mapInArrow(rows, f"page_id {dict(pages.dtypes)['page_id']}, content long, host string, path string, lines array<long>, inside array<int>, kind long")
 
 
 def _address(url: object) -> tuple[str, str]:
@@ -238,67 +285,93 @@ def _address(url: object) -> tuple[str, str]:
     return parts.netloc.lower(), f"{parts.path}?{parts.query}"
 
 
-def _neighbours(hosts: list, outside: list[list[int]], bodies: list) -> list[list[int]]:
-    """For each page the places of the nearest pages before and after it on its
-    host that differ in their bodies, or without a body in any line: copies say
-    nothing."""
-    n = len(hosts)
+ORDER = ["host", "path", "page_id", "content"]
+
+
+def _outermost(_: tuple, group: pa.Table) -> pa.Table:
+    """Of a partition the first page, the first of another body, and the same
+    from its end."""
+    group = group.sort_by([(c, "ascending") for c in ORDER])
+    keys = list(zip(group["host"].to_pylist(), group["kind"].to_pylist()))
+    n = len(keys)
+    spots = {"first": 0, "second": next((i for i in range(n) if keys[i] != keys[0]), None), "last": n - 1, "other": next((i for i in range(n - 1, -1, -1) if keys[i] != keys[-1]), None)}
+    spots = {k: i for k, i in spots.items() if i is not None}
+    return group.take(list(spots.values())).select(["part", "host", "kind", "lines"]).append_column("spot", pa.array(list(spots), pa.string()))
+
+
+def edges(ranged: DataFrame) -> DataFrame:
+    """part, side (-1 before, 1 after), host, kind, lines of the nearest page of
+    another body beyond each edge of each partition."""
+    fences = stash(ranged.select("part", *ORDER, "kind", "lines").groupBy("part").applyInArrow(_outermost, "part int, host string, kind long, lines array<long>, spot string"), "fences")
+    key, at = F.struct("host", "kind"), lambda s: F.max(F.when(F.col("spot") == s, F.struct("host", "kind")))
+    ends = fences.groupBy("part").agg(at("first").alias("first"), at("last").alias("last"), (F.count(F.when(F.col("spot") == "other", key)) > 0).alias("several"))  # four rows a partition
+    sides = []
+    for side, order, near, far, own_far, own_near in ((-1, F.col("part"), "last", "other", "first", "last"), (1, F.col("part").desc(), "first", "second", "last", "first")):
+        by = Window.orderBy(order)
+        page = lambda part, spot: F.struct(part.alias("from"), F.lit(spot).alias("spot"))
+        before, beyond = F.lag("part").over(by), F.lag(near).over(by)
+        # the nearest page, seen from behind this partition, that differs from its outermost one
+        differing = F.when(F.col("several"), page(F.col("part"), far)).when(beyond != F.col(own_near), page(before, near))
+        known = ends.select("*", F.last(differing, ignorenulls=True).over(by).alias("differing"))
+        wanted = F.when(beyond != F.col(own_far), page(before, near)).otherwise(F.lag("differing").over(by))
+        sides.append(known.select("part", F.lit(side).alias("side"), wanted.alias("w")).where("w is not null").select("part", "side", "w.*"))
+    wanted = sides[0].unionByName(sides[1]).withColumnRenamed("part", "to").withColumnRenamed("spot", "at")
+    return wanted.join(fences, (F.col("from") == F.col("part")) & (F.col("at") == F.col("spot"))).select(F.col("to").alias("part"), "side", "host", "kind", "lines")
+
+
+def neighbours(keys: Sequence[tuple[str, int]]) -> list[list[int]]:
+    """For each (host, kind), in order, the places of the nearest ones before and
+    after it on its host that differ in kind: copies say nothing."""
+    n = len(keys)
     before, after = [-1] * n, [-1] * n
     for found, order in ((before, range(n)), (after, range(n - 1, -1, -1))):
         last = -1
         for i in order:
-            if last >= 0 and hosts[last] == hosts[i] and hosts[i] is not None:
-                copy = bodies[last] == bodies[i] and (bodies[i] is not None or outside[last] == outside[i])
-                found[i] = found[last] if copy else last
+            if last >= 0 and keys[last][0] == keys[i][0] != "":
+                found[i] = found[last] if keys[last] == keys[i] else last
             last = i
     return [[j for j in pair if j >= 0] for pair in zip(before, after)]
 
 
+def deleted(own: Sequence[int], inside: Sequence[int], others: Sequence[Sequence[int]]) -> list[int]:
+    """Which lines of a page go, by the rules above."""
+    shared = [shared_lines(own, other) for other in others]
+    article = set(inside)
+    both = set.intersection(*shared) & article if len(shared) == 2 else set()
+    return sorted(set().union(*shared) - article | (both if 2 * len(both) < len(article) else set()))
+
+
 def shared_with_neighbours(keys: DataFrame, per_partition: int) -> DataFrame:
-    """page_id, content, gone: which lines outside articles a page shares with
-    its nearest URLs, for the pages that share any."""
-    spark = keys.sparkSession
-    parts = max(2, -(-keys.count() // per_partition))
-    order = ["host", "path", "page_id", "content"]
-    ranged = stash(keys.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "sorted")
-    edge = F.struct(*order, "outside", "body")
-    fences = ranged.groupBy("part").agg(F.min(edge).alias("first"), F.max(edge).alias("last")).orderBy("part").collect()  # two pages a partition
-    before = {b["part"]: a["last"] for a, b in zip(fences, fences[1:])}
-    after = {a["part"]: b["first"] for a, b in zip(fences, fences[1:])}
-    shared = spark.sparkContext.broadcast((before, after))
-
-    def rows(key: tuple, group: pa.Table) -> pa.Table:
-        before, after = shared.value
-        group = group.sort_by([(c, "ascending") for c in order])
-        first, last = before.get(key[0].as_py()), after.get(key[0].as_py())
-        hosts = [first and first["host"], *group["host"].to_pylist(), last and last["host"]]
-        outside = [first["outside"] if first else [], *group["outside"].to_pylist(), last["outside"] if last else []]
-        bodies = [first and first["body"], *group["body"].to_pylist(), last and last["body"]]
-        gone = []
-        for i, near in enumerate(_neighbours(hosts, outside, bodies)[1:-1], 1):
-            found = set().union(*(shared_lines(outside[i], outside[j]) for j in near))
-            gone.append(sorted(found) or None)
+    """page_id, content, gone: which lines of a page its nearest URLs delete,
+    for the pages that lose any."""
+    rows, lines = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()
+    parts = max(2, -(-rows // per_partition), lines // (100 * per_partition))
+    ranged = stash(keys.repartitionByRange(parts, *ORDER).withColumn("part", F.spark_partition_id()), "sorted")
+
+    def compare(_: tuple, group: pa.Table) -> pa.Table:
+        group = group.sort_by([(c, "ascending") for c in ["side", *ORDER]])
+        lines, inside, side = group["lines"].to_pylist(), group["inside"].to_pylist(), group["side"].to_pylist()
+        near = neighbours(list(zip(group["host"].to_pylist(), group["kind"].to_pylist())))
+        gone = [deleted(own, within, [lines[j] for j in places]) or None if here == 0 and places else None for own, within, here, places in zip(lines, inside, side, near)]
         table = pa.table({"page_id": group["page_id"], "content": group["content"], "gone": pa.array(gone, pa.list_(pa.int32()))})
         return table.filter(table["gone"].is_valid())
 
-    found = ranged.groupBy("part").applyInArrow(rows, f"page_id {dict(keys.dtypes)['page_id']}, content long, gone array<int>")
+    own = ranged.withColumn("side", F.lit(0))
+    found = own.unionByName(edges(ranged), allowMissingColumns=True).groupBy("part").applyInArrow(compare, f"page_id {dict(keys.dtypes)['page_id']}, content long, gone array<int>")
     return found.groupBy("page_id", "content").agg(F.min("gone").alias("gone"))
 
 
-def article(page: str, gone: Iterable[int]) -> str:
-    """gone counts the lines outside articles."""
-    gone, kept, outside = set(gone), [], 0
-    for place, text in lines_of(page):
-        if place == ARTICLE or place == OPEN and outside not in gone:
-            kept.append(text)
-        outside += place != ARTICLE
-    return "\n".join(kept)
+def article(page: str, gone: Iterable[int] = ()) -> str:
+    """The main text of a page without the lines ``gone``, counted over all."""
+    gone, lines = set(gone), placed_lines(page)
+    kept = [t for i, (p, t) in enumerate(lines) if p in (ARTICLE, OPEN) and i not in gone]
+    return "\n".join(kept or [t for i, (p, t) in enumerate(lines) if p == NAMED and i not in gone])
 
 
 def main_text(pages: DataFrame, per_partition: int = 20_000) -> DataFrame:
-    """page_id, url, text, n_chars and n_shared (lines outside the article that
-    a neighbour shares) for every page. Pages are parsed twice and moved at most
-    once: what is sorted and compared is digests."""
+    """page_id, url, text, n_chars and n_shared (lines that differencing deletes)
+    for every page. Pages are parsed twice and moved at most once: what is
+    sorted and compared is digests."""
     named = pages.select("page_id", "url", "html", F.xxhash64("url", "html").alias("content"))
     keys = stash(page_keys(named), "pagekeys")
     gone = stash(shared_with_neighbours(keys, per_partition), "gone").select(F.col("page_id").alias("id"), F.col("content").alias("what"), "gone")
