@@ -151,15 +151,11 @@ def test_names_that_only_contain_a_furniture_name():
     assert htmldiff.article('<div class="menu"><p>Soup<p>Fish</div>') == "Soup\nFish"  # the name misleads: there is no other text
 
 
-def test_lines_shared_inside_articles(spark):
-    page = "<article><h1>Story {n}</h1><p>Body {n} a<p>Body {n} b<p>Share this story</article>"
+def test_lines_of_articles_stay(spark):
+    page = "<div>Top</div><article><h1>Story {n}</h1><p>The same first line<p>Body {n}</article><div>End</div>"
     rows = [(i, f"http://h.example/{i}", page.format(n=i)) for i in range(8)]
-    near = "<article><h1>Same</h1><p>The one body<p>of near copies<p>Edit {n}</article>"
-    rows += [(20 + i, f"http://g.example/{i}", near.format(n=i)) for i in range(6)]
-    got = {r.page_id: r.text for r in htmldiff.main_text(pages(spark, rows), per_partition=3).collect()}
-    assert all(got[i] == f"Story {i}\nBody {i} a\nBody {i} b" for i in range(1, 7))  # both neighbours share the last line
-    assert got[0].endswith("Share this story")  # one neighbour is no proof
-    assert all(got[20 + i] == f"Same\nThe one body\nof near copies\nEdit {i}" for i in range(6))
+    got = htmldiff.main_text(pages(spark, rows), per_partition=3).collect()
+    assert {r.page_id: (r.text, r.n_shared) for r in got} == {i: (f"Story {i}\nThe same first line\nBody {i}", 2) for i in range(8)}
 
 
 def site(rng, n):

@@ -4,15 +4,13 @@ A page becomes lines (its blocks of text) with the kind of place each stands in:
 an article, furniture by its tag, its role or being hidden (menus, forms), parts
 that only a class or id calls furniture (adverts, comments), or open. Pages are
 sorted by host and URL path, so that neighbours are the pages with the nearest
-URLs. All lines of a page and of each neighbour are aligned by longest common
-subsequence, and lines that are shared are deleted:
-
-- open lines that either neighbour shares: templates, however they are marked;
-- lines of an article that both neighbours share ("Share this story"), unless
-  those are half of it or more: then the neighbours are its near copies;
-- lines of furniture by tag or role go in any case, as hosts vary them from page
-  to page. So do parts that are furniture by name alone, if the page has other
-  text left; if it has none, the name misleads and differencing decides there.
+URLs. The lines outside articles of a page and of each neighbour are aligned by
+longest common subsequence, and lines that are shared are deleted: templates,
+menus and footers, however they are marked. Lines inside an article stay, also
+where a neighbour has them: sentences come again in other articles. Lines of
+furniture by tag or role go in any case, as hosts vary them from page to page.
+So do parts that are furniture by name alone, if the page has other text left;
+if it has none, the name misleads and differencing decides there.
 
 An article in an element that is furniture by name alone is an article, but in
 comments, adverts and lists of other pages only ``main`` is, or any if the page
@@ -257,10 +255,10 @@ def _digest(text: str) -> int:
 
 
 def page_keys(pages: DataFrame) -> DataFrame:
-    """page_id, content, host, path, lines (digests), inside (which of them are
-    an article's), kind (a digest of the lines outside furniture, or if there are
-    none of all); a narrow pass that leaves the texts behind."""
-    own = {"host": pa.string(), "path": pa.string(), "lines": pa.list_(pa.int64()), "inside": pa.list_(pa.int32()), "kind": pa.int64()}
+    """page_id, content, host, path, lines (digests of those outside articles),
+    places (where these stand), kind (a digest of the lines outside furniture, or
+    if there are none of all); a narrow pass that leaves the texts behind."""
+    own = {"host": pa.string(), "path": pa.string(), "lines": pa.list_(pa.int64()), "places": pa.list_(pa.int32()), "kind": pa.int64()}
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,11 +266,12 @@ def page_keys(pages: DataFrame) -> DataFrame:
             for url, page in zip(batch["url"].to_pylist(), batch["html"].to_pylist()):
                 lines = placed_lines(page or "")
                 body = [t for p, t in lines if p in (ARTICLE, OPEN)]
-                out.append((*_address(url), [_digest(t) for _, t in lines], [i for i, (p, _) in enumerate(lines) if p == ARTICLE], _digest("\n".join(body or [t for _, t in lines]))))
+                places = [i for i, (p, _) in enumerate(lines) if p != ARTICLE]
+                out.append((*_address(url), [_digest(lines[i][1]) for i in places], places, _digest("\n".join(body or [t for _, t in lines]))))
             columns = {c: pa.array([r[i] for r in out], k) for i, (c, k) in enumerate(own.items())}
             yield pa.RecordBatch.from_pydict({"page_id": batch["page_id"], "content": batch["content"]} | columns)
 
-    return lean(pages).mapInArrow(rows, f"page_id {dict(pages.dtypes)['page_id']}, content long, host string, path string, lines array<long>, inside array<int>, kind long")
+    return lean(pages).mapInArrow(rows, f"page_id {dict(pages.dtypes)['page_id']}, content long, host string, path string, lines array<long>, places array<int>, kind long")
 
 
 def _address(url: object) -> tuple[str, str]:
@@ -333,14 +332,6 @@ def neighbours(keys: Sequence[tuple[str, int]]) -> list[list[int]]:
     return [[j for j in pair if j >= 0] for pair in zip(before, after)]
 
 
-def deleted(own: Sequence[int], inside: Sequence[int], others: Sequence[Sequence[int]]) -> list[int]:
-    """Which lines of a page go, by the rules above."""
-    shared = [shared_lines(own, other) for other in others]
-    article = set(inside)
-    both = set.intersection(*shared) & article if len(shared) == 2 else set()
-    return sorted(set().union(*shared) - article | (both if 2 * len(both) < len(article) else set()))
-
-
 def shared_with_neighbours(keys: DataFrame, per_partition: int) -> DataFrame:
     """page_id, content, gone: which lines of a page its nearest URLs delete,
     for the pages that lose any."""
@@ -350,9 +341,11 @@ def shared_with_neighbours(keys: DataFrame, per_partition: int) -> DataFrame:
 
     def compare(_: tuple, group: pa.Table) -> pa.Table:
         group = group.sort_by([(c, "ascending") for c in ["side", *ORDER]])
-        lines, inside, side = group["lines"].to_pylist(), group["inside"].to_pylist(), group["side"].to_pylist()
-        near = neighbours(list(zip(group["host"].to_pylist(), group["kind"].to_pylist())))
-        gone = [deleted(own, within, [lines[j] for j in places]) or None if here == 0 and places else None for own, within, here, places in zip(lines, inside, side, near)]
+        lines, places, side = group["lines"].to_pylist(), group["places"].to_pylist(), group["side"].to_pylist()
+        gone = []
+        for i, near in enumerate(neighbours(list(zip(group["host"].to_pylist(), group["kind"].to_pylist())))):
+            shared = set().union(*(shared_lines(lines[i], lines[j]) for j in near)) if side[i] == 0 else ()
+            gone.append([places[i][k] for k in sorted(shared)] or None)
         table = pa.table({"page_id": group["page_id"], "content": group["content"], "gone": pa.array(gone, pa.list_(pa.int32()))})
         return table.filter(table["gone"].is_valid())
 
