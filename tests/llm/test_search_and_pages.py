@@ -10,11 +10,11 @@ from tidyloom.llm import htmldiff, topk
 def brute(rows, query_ids, k):
     import math
 
-    usable = {(i, tuple(math.floor(256 * float(np.float32(x))) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    usable = [(i, tuple(math.floor(256 * float(np.float32(x))) for x in v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for i, q in usable:
+    for a, (i, q) in enumerate(usable):
         if i in query_ids:
-            scored = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in usable if j != i and len(v) == len(q))[:k]
+            scored = sorted((-sum(x * y for x, y in zip(q, v)), j) for b, (j, v) in enumerate(usable) if a != b and len(v) == len(q))[:k]
             out += [(i, r, j, -s) for r, (s, j) in enumerate(scored, 1)]
     return sorted(out)
 
@@ -23,7 +23,7 @@ def brute(rows, query_ids, k):
 def test_top_k(spark, block):
     rng = random.Random(1)
     rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(60)] + [(60 + i, [0.5] * 6) for i in range(9)] + [(80, [0.0] * 6)]
-    rows += [(90, None), (91, [1.0, None] + [0.0] * 4), (92, [float("nan")] * 6), (93, [float("inf")] * 6), (94, [1.0, 2.0]), (95, [2.0, 1.0]), (None, [9.0] * 6), (5, rows[5][1])]
+    rows += [(90, None), (91, [1.0, None] + [0.0] * 4), (92, [float("nan")] * 6), (93, [float("inf")] * 6), (94, [1.0, 2.0]), (95, [2.0, 1.0]), (None, [9.0] * 6), (5, rows[5][1]), (60, [0.5] * 6), (60, [0.25] * 6), (96, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("dim", F.lit("clash")).withColumn("v", F.lit(1))
     asked = {0, 5, 10, 60, 80, 94}
     got = topk.top_k(df, df.where(F.col("vec_id").isin(list(asked))), 5, block=block, query_block=2).collect()
@@ -36,8 +36,29 @@ def test_threshold_algorithm_stops_early():
     vectors = rng.integers(0, 50, (20_000, 2))
     vectors[7] = [1000, 900]
     lists = topk.SortedLists(np.arange(20_000), vectors)
-    found, depth = lists.search(3, np.array([1.0, 1.0]), 1)
+    found, depth = lists.search(3, np.array([1, 1]), 1)
     assert found == [(1900, 7)] and depth < 100
+    assert lists.search(3, np.array([1, 1]), 1, floor=1900) == ([(1900, 7)], 8)  # a floor from elsewhere stops at once
+    assert lists.search(3, np.array([1, 1]), 1, floor=1901) == ([], 8)
+
+
+@pytest.mark.parametrize("size", [1e4, 1e6, 1e9, 1e30])
+def test_large_components_are_exact(spark, size):
+    rng = random.Random(4)
+    rows = [(i, [float(np.float32(rng.gauss(0, size))) for _ in range(5)]) for i in range(60)]
+    rows += [(60 + i, [float(np.float32(size)) + i] * 5) for i in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, df.where("vec_id % 10 = 0"), 5, block=16, query_block=4).collect()
+    long = lambda x: max(-(2**63), min(2**63 - 1, x))
+    import math
+
+    usable = [(i, [long(math.floor(256 * x)) for x in v]) for i, v in rows]
+    want = []
+    for i, q in usable:
+        if i % 10 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in usable if i != j)[:5]
+            want += [(i, r, j, long(-s)) for r, (s, j) in enumerate(scored, 1)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body><nav><ul><li><a href="/a">Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div>

@@ -69,13 +69,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 OP1_SQL = """
-with v as (select distinct vec_id, list_transform(embedding, lambda x: cast(floor(256 * x::double) as bigint)) as v
-  from embeddings where vec_id is not null and embedding is not null
+with v as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor(256 * x::double) as bigint)) as v
+  from embeddings where vec_id is not null and len(embedding) > 0
   and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v::double[], c.v::double[]) as bigint) as score
-  from v q join v c on c.vec_id <> q.vec_id and len(c.v) = len(q.v) where q.vec_id % 50 = 0),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
-select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5"""
+s as (select q.r, q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1]::hugeint * z[2]::hugeint)) as score
+  from v q join v c on c.r <> q.r and len(c.v) = len(q.v) where q.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by r order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as integer) as rank, vec_id, cast(score as bigint) as score from r where rank <= 5"""
 
 OP3_SQL = f"""
 with d as (select doc_id, translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}') as t from documents)
