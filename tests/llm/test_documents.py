@@ -256,6 +256,24 @@ def test_token_counts(spark, rows, sentencepiece_model):
         assert (r.n_tokens, r.n_bytes, r.over_limit) == (want, len(texts[r.doc_id].encode()), want > 4096)
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 400])
+def test_long_texts_are_counted_by_a_scan(spark, rows, sentencepiece_model, chunk):
+    rng = random.Random(12)
+    texts = [(i, t) for i, t, _ in rows if t is None or len(t) < 3000]
+    texts += [(500 + k, "".join(rng.choice("aabcdeehst   \n\té日01.!▁x") for _ in range(rng.randrange(30, 300)))) for k in range(40)]
+    texts += [(600, "a" * 2500), (600, "a" * 2500), (601, " " * 300), (602, "née " * 300)]
+    docs = spark.createDataFrame([(i, t, 1, "x", "y") for i, t in texts], "doc_id long, text string, row int, chunk string, n_bytes string")
+    got = tokencount.token_counts(docs, tokencount.vocabulary(queries.PIECES), long_chars=25, chunk_chars=chunk).collect()
+    want = Counter((i, len((t or "").encode()), len(sentencepiece_model.encode(t or ""))) for i, t in texts)
+    assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in got) == want
+
+
+@pytest.mark.parametrize("operator", [tokencount.token_counts, packing.pack_documents, packing.sequences])
+def test_empty_table_of_tokens(spark, operator):
+    path = tokencount.vocabulary(queries.PIECES if operator is tokencount.token_counts else queries.WORDS)
+    assert operator(documents(spark, []), path).count() == 0
+
+
 def test_chunks_compose(sentencepiece_model):
     t = tokencount.PieceTransducer(tokencount.vocabulary(queries.PIECES), state_limit=50, word_limit=20)
     rng = random.Random(9)

@@ -13,8 +13,11 @@ No piece goes on past a word start (a space after a non-space) or through a
 character outside the vocabulary, so there the transducer is back in its start
 state. A chunk of text is therefore summarised by a small state map: what to
 read before the first such place, tokens between the first and the last, and
-the text after the last, which names the state the chunk ends in. Maps compose
-associatively; a text is cut into chunks and their maps are joined by a scan.
+the text after the last, which names the state the chunk ends in; a chunk with
+no such place is its own map. Maps compose associatively. Texts of over
+``long_chars`` are cut into chunk rows that go to many tasks, and their maps are
+joined by a parallel scan, ``FAN`` neighbours a task and level; shorter texts are
+counted where they are read.
 
 Nulls count as empty; an empty text has no tokens. Rows are independent, so
 repeated rows, ties and empty tables need no special case, and only doc_id and
@@ -30,12 +33,15 @@ from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tidyloom.llm._shared import TwoGenerationCache, lean, resident
+from tidyloom.llm._shared import TwoGenerationCache, lean, resident, stash
 
 SPACE = "▁"
 NEWLINE = "\n"
 CHUNK_CHARS = 1 << 16
+LONG_CHARS = 1 << 20
+FAN = 32
 
 
 class StateMap(NamedTuple):
@@ -205,25 +211,78 @@ def transducer(path: str) -> PieceTransducer:
     return resident(("pieces", path), lambda: PieceTransducer(path))
 
 
-def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit for every row; one narrow pass, no shuffle."""
+MAPS = {"head": pa.string(), "inner": pa.int64(), "tail": pa.string(), "synced": pa.bool_()}
+
+
+def utf8_bytes(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+
+
+def _table(fixed: dict, maps: list[StateMap]) -> dict:
+    return fixed | {c: pa.array([getattr(m, c) for m in maps], k) for c, k in MAPS.items()}
+
+
+def scanned(chunks: DataFrame, model_path: str, most: int) -> DataFrame:
+    """chunks: doc_id, row, at, n_bytes, chunk of texts cut into ``most`` pieces
+    at most. doc_id, n_bytes and n_tokens of each text (row)."""
+    kind = dict(chunks.dtypes)["doc_id"]
+    schema = f"doc_id {kind}, row long, at long, n_bytes long, head string, inner long, tail string, synced boolean"
+
+    def mapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = transducer(model_path)
+        for batch in batches:
+            fixed = {c: batch[c] for c in ("doc_id", "row", "at", "n_bytes")}
+            yield pa.RecordBatch.from_pydict(_table(fixed, [t.state_map(x) for x in batch["chunk"].to_pylist()]))
+
+    def composed(key: tuple, group: pa.Table) -> pa.Table:
+        t, group = transducer(model_path), group.sort_by("at")
+        one = reduce(t.compose, [StateMap(*x) for x in zip(*(group[c].to_pylist() for c in MAPS))])
+        fixed = {"doc_id": group["doc_id"].slice(0, 1), "row": group["row"].slice(0, 1), "at": pa.array([key[1].as_py()], pa.int64()), "n_bytes": pa.array([sum(group["n_bytes"].to_pylist())], pa.int64())}
+        return pa.table(_table(fixed, [one]))
+
+    def finished(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = transducer(model_path)
+        for batch in batches:
+            tokens = [t.finish(StateMap(*x)) for x in zip(*(batch[c].to_pylist() for c in MAPS))]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "n_bytes": batch["n_bytes"], "n_tokens": pa.array(tokens, pa.int64())})
+
+    maps = chunks.repartition("row", "at").mapInArrow(mapped, schema)
+    while most > 1:
+        maps, most = maps.withColumn("next", F.floor(F.col("at") / FAN)).groupBy("row", "next").applyInArrow(composed, schema), -(-most // FAN)
+    return maps.mapInArrow(finished, f"doc_id {kind}, n_bytes long, n_tokens long")
+
+
+def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, long_chars: int = LONG_CHARS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit for every row; one pass, in which only
+    the chunks of long texts are moved."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(model_path)
         for batch in batches:
-            texts = [x or "" for x in batch["text"].to_pylist()]
-            tokens = [t.count(x) for x in texts]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch["doc_id"],
-                    "n_bytes": pa.array([len(x) if x.isascii() else len(x.encode("utf-8", "surrogatepass")) for x in texts], pa.int64()),
-                    "n_tokens": pa.array(tokens, pa.int64()),
-                    "over_limit": pa.array([n > limit for n in tokens], pa.bool_()),
-                }
-            )
+            at, tokens, n_bytes, place, chunk = [], [], [], [], []
+            for i, text in enumerate(batch["text"].to_pylist()):
+                if text is None or len(text) <= long_chars:
+                    pieces = [None]
+                else:  # spaces are written as the vocabulary does, bytes are the text's own
+                    pieces = [text[k : k + chunk_chars] for k in range(0, len(text), chunk_chars)]
+                for k, piece in enumerate(pieces):
+                    at.append(i)
+                    place.append(k)
+                    tokens.append(t.count(text) if piece is None else None)
+                    n_bytes.append(utf8_bytes((text or "") if piece is None else piece))
+                    chunk.append(piece if piece is None else SPACE * (k == 0) + piece.replace(" ", SPACE))
+            columns = {"at": pa.array(place, pa.int64()), "n_bytes": pa.array(n_bytes, pa.int64()), "n_tokens": pa.array(tokens, pa.int64()), "chunk": pa.array(chunk, pa.string())}
+            taken = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"].take(taken), "row": batch["row"].take(taken)} | columns)
 
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
-    return lean(docs).select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    read = lean(docs).select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    counted = stash(read.mapInArrow(rows, f"doc_id {kind}, row long, at long, n_bytes long, n_tokens long, chunk string"), "counted")
+    found, chunks = counted.where("chunk is null").select("doc_id", "n_bytes", "n_tokens"), counted.where("chunk is not null").drop("n_tokens")
+    most = chunks.agg(F.max("at")).first()[0]
+    if most is not None:
+        found = found.unionByName(scanned(chunks, model_path, most + 1))
+    return found.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def vocabulary(name: str) -> str:
