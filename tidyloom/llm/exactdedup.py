@@ -2,11 +2,14 @@
 
 The stream keeps one entry a digest in a disk-backed state store (RocksDB),
 without expiry: the digest, the stable identifier of the row that stays (the
-largest doc_id so far), where its content lies, and how many rows came. The
-input is any number of micro-batches; the entries only grow, so their final
-values are the maxima of what the batches wrote. Afterwards every row whose
-digest was hit more than once is compared with the staying row in full bytes;
-a digest under which different texts met is grouped by the texts themselves.
+largest doc_id so far), the locator of its content (a hash of the file's path and
+the row's place in the file), and how many rows came. The input is any number of
+micro-batches; the entries only grow, so their final values are the maxima of
+what the batches wrote. Afterwards every row whose digest was hit more than once
+is compared in full bytes with the content that the locator names; a digest under
+which different texts met is grouped by the texts themselves. The locator also
+tells repeated rows apart: the row that it names is the one that stays. Rows
+that don't come from files are written first, so that there is a place to name.
 
 Texts are equal when they are identical after lower-casing A-Z. Null counts as
 empty. Rows with equal text and equal doc_id are ties: one of them stays, as
@@ -23,9 +26,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidyloom.llm._shared import ascii_lower, scratch_path, stash, whole_rows
 
@@ -53,14 +56,27 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def located(rows: DataFrame) -> DataFrame:
+    """rows with ``at``, struct<file long, place long>: where each one lies."""
+    if "_metadata" not in rows.columns:
+        try:
+            return rows.withColumn("at", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")))
+        except AnalysisException:  # these rows don't come straight from files
+            pass
+    stored = stash(rows, "rows")
+    if not stored.inputFiles():
+        return rows.limit(0).withColumn("at", F.struct(F.lit(0).cast("long").alias("file"), F.lit(0).cast("long").alias("place")))
+    return stored.withColumn("at", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")))
+
+
 def streamed_state(arrivals: DataFrame, files_per_batch: int = 10_000) -> DataFrame:
-    """arrivals: a stashed frame of digest, doc_id, locator. Run it through the
-    keyed state and return digest, keep (doc_id, locator) and n."""
+    """arrivals: a stashed frame of digest, doc_id, at. Run it through the keyed
+    state and return digest, keep (doc_id, at) and n."""
     spark = arrivals.sparkSession
     folder = arrivals.inputFiles()[0].rsplit("/", 1)[0] if arrivals.inputFiles() else None
     out, position = scratch_path(spark, "state"), scratch_path(spark, "stream")
     before = {k: spark.conf.get(k, None) for k in SETTINGS}
-    entry = "digest binary, keep struct<doc_id:{}, locator:string>, n long".format(dict(arrivals.dtypes)["doc_id"])
+    entry = "digest binary, keep struct<doc_id:{}, at:struct<file:bigint, place:bigint>>, n long".format(dict(arrivals.dtypes)["doc_id"])
     if folder is None:
         return spark.createDataFrame([], entry)
 
@@ -71,7 +87,7 @@ def streamed_state(arrivals: DataFrame, files_per_batch: int = 10_000) -> DataFr
         for k, v in SETTINGS.items():
             spark.conf.set(k, v)
         stream = spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
-        state = stream.groupBy("digest").agg(F.max(F.struct("doc_id", "locator")).alias("keep"), F.count(F.lit(1)).alias("n"))
+        state = stream.groupBy("digest").agg(F.max(F.struct("doc_id", "at")).alias("keep"), F.count(F.lit(1)).alias("n"))
         query = state.writeStream.outputMode("update").option("checkpointLocation", position).trigger(availableNow=True).foreachBatch(write).start()
         query.awaitTermination()
     finally:
@@ -86,39 +102,31 @@ def duplicate_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha25
 
     ``digest`` keys the state; the result does not depend on it, as full bytes
     are compared."""
-    texts = docs.select("doc_id", normalised(F.col("text")).alias("text"))
-    arrivals = stash(
-        texts.select(digest(F.col("text")).alias("digest"), "doc_id", F.input_file_name().alias("locator"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")),
-        "digests",
-    )
+    return _groups(located(docs.select("doc_id", "text")), digest, files_per_batch).drop("at")
+
+
+def _groups(rows: DataFrame, digest: Callable[[Column], Column], files_per_batch: int) -> DataFrame:
+    """rows: doc_id, text, at."""
+    texts = rows.select("doc_id", "at", normalised(F.col("text")).alias("text"))
+    arrivals = stash(texts.select(digest(F.col("text")).alias("digest"), "doc_id", "at", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")), "digests")
     state = stash(streamed_state(arrivals, files_per_batch), "final")
-    hits = state.where("n > 1").select("digest", F.col("keep.doc_id").alias("keep_id"))
+    hits = state.where("n > 1").select("digest", "keep")
     hit_rows = texts.withColumn("digest", digest(F.col("text"))).join(small(hits, n_hits := hits.count()), "digest")
-    stays = hit_rows.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("text").alias("staying"))
-    stays = stash(stays, "stays")  # written, so that the join below can split a digest that very many rows share
+    stays = stash(hit_rows.where(F.col("at") == F.col("keep.at")).select("digest", F.col("text").alias("staying")), "stays")  # written, so that the join below can split a digest that very many rows share
     differing = stash(hit_rows.join(stays, "digest").where(F.col("text") != F.col("staying")).select("digest"), "differing").distinct()
     clashes = differing.count() if n_hits else 0
 
-    keeps = state.select("digest", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"))
-    result = arrivals.drop("locator").join(keeps, "digest")
+    result = arrivals.join(state.select("digest", "keep", F.col("n").alias("group_size")), "digest")
     if clashes:
-        met = hit_rows.drop("keep_id").join(small(differing, clashes), "digest", "left_semi")
-        groups = met.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        met = hit_rows.drop("keep").join(small(differing, clashes), "digest", "left_semi")
+        groups = met.groupBy("digest", "text").agg(F.max(F.struct("doc_id", "at")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
         regrouped = met.join(groups, ["digest", "text"]).withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256)).drop("text")
         result = result.join(small(differing, clashes), "digest", "left_anti").unionByName(regrouped)
-    result = result.drop("digest").repartition("text_sha256", "doc_id")  # apart from the join, so that its hot keys can be split
-    place = F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy("keep_id"))
-    return result.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (place == 1)).alias("kept"), "text_sha256")
+    return result.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("at") == F.col("keep.at")).alias("kept"), "text_sha256", "at")
 
 
-def drop_duplicates(docs: DataFrame, **options) -> DataFrame:
+def drop_duplicates(docs: DataFrame, digest: Callable[[Column], Column] = sha256, files_per_batch: int = 10_000) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    groups = stash(duplicate_groups(docs, **options).where("group_size > 1"), "groups")
-    keys = groups.groupBy(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("sha")).agg(
-        F.max("kept").alias("stays"), (F.count(F.lit(1)) > 1).alias("repeated")
-    )
-    keys = stash(keys.where("not stays or repeated"), "dropped")
-    rows = whole_rows(docs, "doc_id", sha256(normalised(F.col("text"))).alias("key"))
-    rows = rows.join(small(keys, keys.count()), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("sha")), "left_outer")
-    repeated = rows.where("stays and repeated").withColumn("place", F.row_number().over(Window.partitionBy("id", "sha").orderBy("row.text")))
-    return rows.where("sha is null").select("row.*").unionByName(repeated.where("place = 1").select("row.*"))
+    rows = located(whole_rows(docs, "doc_id", "text"))
+    dropped = stash(_groups(rows, digest, files_per_batch).where("not kept").select("at"), "dropped")
+    return rows.join(small(dropped, dropped.count()), "at", "left_anti").select("row.*")
