@@ -106,6 +106,19 @@ def test_wrapped_license_notices(spark):
     assert got == {0: ("mit", 1.0), 1: ("bsd", 1.0), 2: ("mpl-2.0", 1.0), 3: ("mit", 1.0), 4: ("mpl-2.0", 1.0), 5: ("", 0.0), 6: ("", 0.0)}
 
 
+def test_whole_licenses(spark):
+    """Paragraphs of the licenses as they are wrapped in source files, and words of them scattered in one long line."""
+    import textwrap
+
+    wrapped = {(label, k): "\n".join(f" * {x}" for x in textwrap.wrap(text, 40)) for k, (label, text) in enumerate(license.TEMPLATES)}
+    filler = " ".join(f"word{k}" for k in range(300))
+    texts = [f"{filler}\n\n{text}\n\n{filler}" for text in wrapped.values()]
+    scattered = [filler.replace("word90 ", "all ").replace("word170 ", "rights ").replace("word250 ", "reserved ")]
+    got = {r.doc_id: r.labels.split(",") for r in license.license_scan(documents(spark, [(i, t, None) for i, t in enumerate(texts + scattered)])).collect()}
+    assert all(label in got[i] for i, (label, _) in enumerate(wrapped))
+    assert got[len(texts)] == [""]
+
+
 def test_similarity_join_is_exact(spark):
     rng = random.Random(1)
     pool = [f"w{i}" for i in range(14)]
