@@ -7,8 +7,8 @@ and bounds its bin count from below with dual feasible functions. Where the
 count meets the bound it is certified. Partitions with a gap give back all bins
 that are not full, every partition gives back its emptiest bin, and what was
 given back is dealt anew over fewer partitions and packed again, until one
-partition is left or nothing is gained. A round that needs more bins than the
-documents had before is not taken.
+partition is left or a round saves less than ``least_gain`` of the bins that were
+given back. A round that needs as many bins as before is not taken.
 
 Only lengths move between rounds, never texts; the rows shrink from round to
 round. Null texts count as empty and hold the end id alone. Repeated rows are
@@ -21,6 +21,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -190,11 +191,11 @@ def _pack_group(round_no: int, capacity: int):
     return pack
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, per_partition: int = 40_000, rounds: int = 6) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 4096, per_partition: int = 40_000, least_gain: float = 0.0001) -> DataFrame:
     """Give each piece a sequence_id and an offset in it."""
     kind = dict(pieces.dtypes)["doc_id"]
     open_rows, taken, open_bins, spent = stash(pieces, "pieces"), [], None, []
-    for round_no in range(rounds):
+    for round_no in count():
         n = open_rows.count()
         if not n:
             break
@@ -213,7 +214,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, per_partition: int = 40_000, r
             taken[-1] = taken[-1].where("settled")
         taken.append(packed)
         spent.append(open_rows)
-        if parts == 1:
+        if parts == 1 or open_bins is not None and open_bins - bins < least_gain * open_bins:
             break
         open_rows = packed.where(~F.col("settled"))
         open_bins = open_rows.agg(F.count_distinct("sequence_id")).first()[0]
