@@ -24,8 +24,10 @@ doc_id, text and, for training, lang are read; other columns are ignored.
 
 ``keep_identified`` also asks whether any learned language fits. The pieces'
 uniform distribution stands for every other language: a text that it explains
-better than the best language by over ``margin`` nats is in none of them, and a
-text whose own label another language beats by over ``margin`` nats is mislabelled.
+better than the best language by over ``margin`` nats is in none of them. A text
+is mislabelled if another language beats its own label's by over ``margin`` nats,
+and the words that speak for the label weigh less than ``share`` of those that
+speak against it: a text in its language that quotes another one is not.
 """
 
 from __future__ import annotations
@@ -48,6 +50,7 @@ UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
 SHORT = 24  # letters up to which probabilities stay far from the smallest double
 MARGIN = 20.0  # nats of evidence against a text before it is rejected
+SHARE = 0.1  # of it that words for the label may weigh
 
 
 class PieceTable:
@@ -206,9 +209,10 @@ class Scorer:
                 rows += [log_sums(self.table.edges(START + w), len(w) + 1, self.log_probability)[-1:] for w in group]
         self.logs = np.concatenate(rows)
 
-    def evidence(self, texts: Sequence[str | None]) -> Iterator[np.ndarray | None]:
+    def evidence(self, texts: Sequence[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
         """Of each text the log probabilities by language, priors included, and
-        by the uniform distribution; None if it has no letter."""
+        by the uniform distribution, and its words' places in ``logs``; None if
+        it has no letter."""
         for i in range(0, len(texts), 200):
             documents = [words_of(t) if isinstance(t, str) else [] for t in texts[i : i + 200]]
             self.learn(set().union(*documents))
@@ -216,30 +220,37 @@ class Scorer:
                 if not lettered(text, words):
                     yield None
                     continue
-                logs = self.logs[np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))].sum(0)
+                at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+                logs = self.logs[at].sum(0)
                 logs[:-1] += self.model.prior
-                yield logs
+                yield logs, at
 
     def predict(self, texts: Sequence[str | None]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = []
-        for logs in self.evidence(texts):
-            if logs is None or not self.model.languages:
+        for found in self.evidence(texts):
+            if found is None or not self.model.languages:
                 out.append((UNDETERMINED, 0.0))
                 continue
+            logs = found[0]
             best = int(logs[:-1].argmax())
             out.append((self.model.languages[best], float(1.0 / np.exp(logs[:-1] - logs[best]).sum())))
         return out
 
-    def accepts(self, texts: Sequence[str | None], labels: Sequence[str | None], margin: float) -> list[bool]:
+    def accepts(self, texts: Sequence[str | None], labels: Sequence[str | None], margin: float, share: float) -> list[bool]:
         """Whether a learned language fits each text, and its label, if it has one."""
-        at = {lang: k for k, lang in enumerate(self.model.languages)}
+        number = {lang: k for k, lang in enumerate(self.model.languages)}
         out = []
-        for logs, label in zip(self.evidence(texts), labels):
-            if logs is None or not at:
-                out.append(logs is not None)
+        for found, label in zip(self.evidence(texts), labels):
+            if found is None or not number:
+                out.append(found is not None)
                 continue
-            best = float(logs[:-1].max())
-            out.append(logs[-1] - best <= margin and (label not in at or best - logs[at[label]] <= margin))
+            logs, at = found
+            best, own = int(logs[:-1].argmax()), number.get(label)
+            fits = logs[-1] - logs[best] <= margin
+            if fits and own is not None and logs[best] - logs[own] > margin:
+                each = self.logs[at, best] - self.logs[at, own]
+                fits = -each[each < 0].sum() >= share * each[each > 0].sum()
+            out.append(bool(fits))
         return out
 
 
@@ -346,7 +357,7 @@ def identify(docs: DataFrame, vocabulary: str, max_docs: int = 8_000) -> DataFra
     return predict(docs, model).select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, vocabulary: str, max_docs: int = 8_000, margin: float = MARGIN) -> DataFrame:
+def keep_identified(docs: DataFrame, vocabulary: str, max_docs: int = 8_000, margin: float = MARGIN, share: float = SHARE) -> DataFrame:
     """docs without the rows that the model rejects: no letters, in none of the
     learned languages, or labelled with one that another beats; all columns
     stay. Without a labelled row there is no model, and rows with letters stay."""
@@ -355,6 +366,6 @@ def keep_identified(docs: DataFrame, vocabulary: str, max_docs: int = 8_000, mar
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of(model.value)
         for batch in batches:
-            yield batch.filter(pa.array(scorer.accepts(batch["text"].to_pylist(), batch["lang"].to_pylist(), margin), pa.bool_()))
+            yield batch.filter(pa.array(scorer.accepts(batch["text"].to_pylist(), batch["lang"].to_pylist(), margin, share), pa.bool_()))
 
     return lean(docs).mapInArrow(rows, docs.schema)
