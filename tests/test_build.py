@@ -54,7 +54,7 @@ def test_build_apply_and_score(spark, files, capsys):
     assert (total["errors"], total["tp"], total["precision"], total["recall"]) == (5, 5, 1.0, 1.0)
     assert "size" in (run / "cascade.md").read_text() and "isin" in (run / "detection.md").read_text()
     assert main(["apply", "--plan", str(run / "plan.json"), dirty], spark) == 0
-    fixed = spark.read.option("header", True).csv(dirty.removesuffix(".csv") + "_corrected").na.fill("")
+    fixed = spark.read.option("header", True).csv(dirty.removesuffix(".csv") + "_corrected.csv").na.fill("")
     assert fixed.where("size = 'N/A'").count() == 0 and fixed.count() == 20
     assert main(["score", "--plan", str(run / "plan.json"), "--dirty", dirty, "--clean", clean], spark) == 0
     assert main(["apply", "--plan", "p"], spark) == 2

@@ -17,74 +17,84 @@ def values(df, name):
 
 
 def test_basic_plan(spark):
-    df = frame(spark, ["brewery", "ounces", "abv", "state"], [("A", "12 oz", "5%", "CA"), ("A", "16 oz", "5", ""), ("B", "10", "4%", "NY"), ("B", "20", "6", "NY")])
+    df = frame(spark, ["depot", "weight", "load", "zone"], [("north", "7 kg", "30 pct", "Z1"), ("north", "9 kg", "30", ""), ("south", "5", "45 pct", "Z4"), ("south", "6", "50", "Z4")])
     plan = CleanerPlan(
-        ("ounces", "abv", "state", "absent"),
-        {"ounces": rule("col.str.contains('oz', na=False)"), "abv": rule("col.str.contains('%', regex=False, na=False)"), "state": EMPTY},
-        {"ounces": CorrectionRule("regex_sub", r"\s*oz$", "")},
-        correct=(Dependency("brewery", "state"),),
+        ("weight", "load", "zone", "absent"),
+        {"weight": rule("col.str.contains('kg', na=False)"), "load": rule("col.str.contains(' pct', regex=False, na=False)"), "zone": EMPTY},
+        {"weight": CorrectionRule("regex_sub", r"\s*kg$", "")},
+        correct=(Dependency("depot", "zone"),),
     )
     out = cleaner.apply_plan(df, plan)
-    assert values(out, fixed("ounces")) == ["12", "16", "10", "20"]
-    assert values(out, fixed("state")) == ["CA", "CA", "NY", "NY"]
-    assert values(out, flag("abv")) == [True, False, True, False]
-    for r in cleaner.trail_counts(out, ["ounces", "abv", "state"]).collect():
+    assert values(out, fixed("weight")) == ["7", "9", "5", "6"]
+    assert values(out, fixed("zone")) == ["Z1", "Z1", "Z4", "Z4"]
+    assert values(out, flag("load")) == [True, False, True, False]
+    for r in cleaner.trail_counts(out, ["weight", "load", "zone"]).collect():
         assert r.marked == r.code + r.dependency + r.unresolved
     assert CleanerPlan.from_json(plan.to_json()) == plan
 
 
 def test_code_goes_before_dependency_and_both_read_the_original(spark):
-    df = frame(spark, ["city", "state"], [("Boston MA", ""), ("Boston", "MA"), ("Boston", "MA"), ("Salem", "OR")])
-    plan = CleanerPlan(("city", "state"), {"city": rule("col.str.endswith(' MA', na=False)"), "state": EMPTY}, {"city": CorrectionRule("regex_sub", " MA$", "")}, correct=(Dependency("city", "state"),))
+    df = frame(spark, ["port", "sea"], [("Lund#", ""), ("Lund", "Baltic"), ("Lund", "Baltic"), ("Oban", "Minch")])
+    plan = CleanerPlan(("port", "sea"), {"port": rule("col.str.endswith('#', na=False)"), "sea": EMPTY}, {"port": CorrectionRule("regex_sub", "#$", "")}, correct=(Dependency("port", "sea"),))
     out = cleaner.apply_plan(df, plan)
-    assert values(out, fixed("city"))[0] == "Boston"
-    assert values(out, fixed("state"))[0] == "" and values(out, flag("state"))[0]
+    assert values(out, fixed("port"))[0] == "Lund"
+    assert values(out, fixed("sea"))[0] == "" and values(out, flag("sea"))[0]  # its port, as it came, has no group
+    assert plan.both_layers() == [] and '"both_layers": []' in plan.to_json()
 
 
 def test_both_cells_must_be_unmarked(spark):
-    df = frame(spark, ["brewery", "state"], [("A", ""), ("A", ""), ("A", ""), ("A", "CA"), ("A", "CA")])
-    out = cleaner.apply_plan(df, CleanerPlan(("state",), {"state": EMPTY}, correct=(Dependency("brewery", "state"),)))
-    assert set(values(out, fixed("state"))) == {"CA"}
-    alone = frame(spark, ["brewery", "state"], [("A", ""), ("B", "NY")])
-    out = cleaner.apply_plan(alone, CleanerPlan(("state",), {"state": EMPTY}, correct=(Dependency("brewery", "state"),)))
-    assert values(out, flag("state")) == [True, False]
+    df = frame(spark, ["crew", "boat"], [("red", "")] * 4 + [("red", "Tern")] * 3)
+    out = cleaner.apply_plan(df, CleanerPlan(("boat",), {"boat": EMPTY}, correct=(Dependency("crew", "boat"),)))
+    assert set(values(out, fixed("boat"))) == {"Tern"}
+    alone = frame(spark, ["crew", "boat"], [("blue", ""), ("grey", "Gull"), ("grey", "Gull")])
+    out = cleaner.apply_plan(alone, CleanerPlan(("boat",), {"boat": EMPTY}, correct=(Dependency("crew", "boat"),)))
+    assert values(out, flag("boat")) == [True, False, False]
 
 
 def test_ties_take_the_smallest_and_chains_read_the_rules_marks(spark):
-    tie = frame(spark, ["City", "State"], [("Bangalore", "KA"), ("Bangalore", "AA")])
-    assert values(dependency.deviations(tie, [Dependency("City", "State")]), "d__State") == [True, False]
-    chain = frame(spark, ["City", "State", "Country"], [("A", "S2", "C2")] + [("A", "S1", "C1")] * 3 + [("B", "S2", "C1")] * 4)
-    marks = dependency.deviations(chain, [Dependency("City", "State"), Dependency("State", "Country")])
-    assert values(marks, "d__State") == [True] + [False] * 7
-    assert values(marks, "d__Country") == [True] + [False] * 7
+    tie = frame(spark, ["shelf", "aisle"], [("s9", "right"), ("s9", "left"), ("s9", "right"), ("s9", "left")])
+    assert values(dependency.deviations(tie, [Dependency("shelf", "aisle")]), "d__aisle") == [True, False, True, False]
+    chain = frame(spark, ["shelf", "aisle", "floor"], [("s1", "left", "two")] + [("s1", "right", "one")] * 2 + [("s2", "left", "one")] * 5)
+    marks = dependency.deviations(chain, [Dependency("shelf", "aisle"), Dependency("aisle", "floor")])
+    assert values(marks, "d__aisle") == [True] + [False] * 7
+    assert values(marks, "d__floor") == [True] + [False] * 7
+
+
+def test_lists_of_dependencies_may_differ(spark):
+    """One marks and doesn't repair, the other repairs what a rule marks."""
+    df = frame(spark, ["shelf", "aisle", "floor"], [("s1", "left", "one")] * 3 + [("s1", "right", "")] + [("s2", "up", "two")] * 2)
+    plan = CleanerPlan(("aisle", "floor"), {"floor": EMPTY}, detect=(Dependency("shelf", "aisle"),), correct=(Dependency("shelf", "floor"),))
+    out = cleaner.apply_plan(df, plan)
+    assert values(out, flag("aisle")) == [False] * 3 + [True] + [False] * 2 and values(out, fixed("aisle"))[3] == "right"
+    assert values(out, fixed("floor"))[3] == "one" and values(out, "t__floor")[3] == cleaner.BY_DEPENDENCY
 
 
 def test_mutual_information(spark):
     import math
 
-    df = frame(spark, ["A", "B", "C"], [("x", "1", "p"), ("x", "1", "q"), ("y", "2", "r"), ("y", "2", "s"), ("z", "3", "t"), ("z", "3", "u")])
-    got = {(r.target, r.candidate): r.mi for r in dependency.mutual_information(df, ["A", "B", "C"]).collect()}
-    assert math.isclose(got["A", "A"], math.log(3)) and math.isclose(got["A", "B"], math.log(3)) and ("A", "C") not in got
-    assert [(r.target, r.candidate) for r in dependency.determinant_candidates(df, ["A", "B", "C"]).orderBy("target").collect()] == [("A", "B"), ("B", "A")]
+    df = frame(spark, ["hue", "code", "tag"], [("red", "r", "t1"), ("red", "r", "t2"), ("red", "r", "t3"), ("tan", "t", "t4"), ("tan", "t", "t5"), ("tan", "t", "t6")])
+    got = {(r.target, r.candidate): r.mi for r in dependency.mutual_information(df, ["hue", "code", "tag"]).collect()}
+    assert math.isclose(got["hue", "hue"], math.log(2)) and math.isclose(got["hue", "code"], math.log(2)) and ("hue", "tag") not in got
+    assert [(r.target, r.candidate) for r in dependency.determinant_candidates(df, ["hue", "code", "tag"]).orderBy("target").collect()] == [("code", "hue"), ("hue", "code")]
 
 
 def test_gate_leaves_a_clean_row_out(spark):
-    df = frame(spark, ["d", "v"], [("X", "A"), ("X", "A"), ("X", "B"), ("Y", "C")]).withColumn(mask("v"), col("v") == "B")
+    df = frame(spark, ["bay", "kind"], [("b1", "wet"), ("b1", "wet"), ("b1", "dyr"), ("b2", "dry")]).withColumn(mask("kind"), col("kind") == "dyr")
     labels = lambda rows: spark.createDataFrame(rows, f"{RID} long, clean string, is_error boolean")
-    assert dependency.gate(df, labels([(2, "A", True), (0, "A", False), (3, "C", False)]), Dependency("d", "v"))
-    assert not dependency.gate(df, labels([(2, "B_TRUE", True)]), Dependency("d", "v"))
-    assert dependency.gate(df, labels([]), Dependency("d", "v"))
+    assert dependency.gate(df, labels([(2, "wet", True), (1, "wet", False), (3, "dry", False)]), Dependency("bay", "kind"))
+    assert not dependency.gate(df, labels([(2, "dry", True)]), Dependency("bay", "kind"))
+    assert dependency.gate(df, labels([]), Dependency("bay", "kind"))
 
 
 def test_stream_with_a_snapshot(spark, tmp_path):
-    rows = [("A", "CA"), ("A", "CA"), ("A", ""), ("B", "NY")]
-    table = frame(spark, ["brewery", "state"], rows)
+    rows = [("red", "Tern"), ("red", "Tern"), ("red", ""), ("blue", "Gull")]
+    table = frame(spark, ["crew", "boat"], rows)
     table.write.parquet(str(tmp_path / "in"))
-    fd = Dependency("brewery", "state")
-    plan = CleanerPlan(("state",), {"state": EMPTY})
+    fd = Dependency("crew", "boat")
+    plan = CleanerPlan(("boat",), {"boat": EMPTY})
     stream = spark.readStream.schema(table.schema).parquet(str(tmp_path / "in"))
     out = clean_stream(stream, plan, mode_snapshot(table, plan, [fd]), [fd])
     q = out.writeStream.format("memory").queryName("cleaned").trigger(availableNow=True).start()
     q.awaitTermination()
-    assert values(spark.table("cleaned"), fixed("state")) == ["CA", "CA", "CA", "NY"]
-    assert values(spark.table("cleaned"), "t__state") == [None, None, "dependency", None]
+    assert values(spark.table("cleaned"), fixed("boat")) == ["Tern", "Tern", "Tern", "Gull"]
+    assert values(spark.table("cleaned"), "t__boat") == [None, None, "dependency", None]

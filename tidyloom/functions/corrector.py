@@ -13,7 +13,13 @@ from tidyloom.plans.model import CorrectionRule
 IDENTITY = CorrectionRule(kind="none")
 
 
-def compile_corrector(rule: CorrectionRule, column: Column) -> Column:
+class PythonNotAllowed(ValueError):
+    pass
+
+
+def compile_corrector(rule: CorrectionRule, column: Column, python: bool = False) -> Column:
+    """The repaired value. Rules of kind "code" run only if ``python`` says so: a
+    plan file alone must not be enough to run what stands in it."""
     if rule.kind == "none":
         return column
     if rule.kind == "regex_sub":
@@ -26,6 +32,8 @@ def compile_corrector(rule: CorrectionRule, column: Column) -> Column:
     elif rule.kind == "constant":
         changed = F.lit(rule.value or "")
     elif rule.kind == "code":
+        if not python:
+            raise PythonNotAllowed("a rule in Python needs python=True (--allow-python)")
         changed = python_corrector(rule.code or "", column)
     else:
         raise ValueError(f"unknown kind of correction: {rule.kind}")

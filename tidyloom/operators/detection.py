@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidyloom.functions.detector import NOTHING, RuleRejected, compile_detector
 from tidyloom.functions.fallback import python_detector
-from tidyloom.operators.names import col, mask
+from tidyloom.operators.names import col, mask, told
 
 
 def intra_masks(df: DataFrame, rules: Mapping[str, str | None], log: list[str] | None = None, python: bool = False) -> DataFrame:
@@ -33,7 +33,7 @@ def intra_masks(df: DataFrame, rules: Mapping[str, str | None], log: list[str] |
         except (RuleRejected, PySparkException) as e:
             found = F.lit(False)
             if log is not None:
-                log.append(f"{name}: {type(e).__name__}: {' '.join(str(e).split())[:200]}")
+                log.append(f"{name}: {told(e)}")
         added[mask(name)] = found
     return df.withColumns(added)
 

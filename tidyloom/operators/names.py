@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 RID = "_rid"
 
 
+def told(problem: BaseException) -> str:
+    """An error in one short line."""
+    return f"{type(problem).__name__}: {' '.join(str(problem).split())[:200]}"
+
+
 def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 

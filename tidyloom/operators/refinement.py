@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidyloom.functions.detector import NOTHING, RuleRejected, compile_detector, marks_nothing
+from tidyloom.operators.names import told
 from tidyloom.operators.sampling import oracle_sample
 from tidyloom.plans.agents import OracleLabel, RuleAgent
 from tidyloom.plans.model import DetectorRule
@@ -51,7 +52,7 @@ def usable(dictionary: DataFrame, rule: DetectorRule) -> str | None:
     try:
         dictionary.limit(5).select(compile_detector(rule.code, F.col("value"))).collect()
     except (RuleRejected, PySparkException) as e:
-        return f"{type(e).__name__}: {' '.join(str(e).split())[:200]}"
+        return told(e)
     return None
 
 
@@ -89,7 +90,7 @@ def refine(
             revised = agent.revise_detector(column, rule, labels, feedback_text(labels))
             problem = usable(vectors, revised)
         except Exception as e:  # whatever an agent does wrong, the rule stays
-            revised, problem = rule, f"{type(e).__name__}: {' '.join(str(e).split())[:200]}"
+            revised, problem = rule, told(e)
         if problem:
             history.append(step | {"status": f"rejected: {problem}"})
             continue

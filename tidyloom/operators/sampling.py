@@ -116,34 +116,32 @@ def _away(candidates: DataFrame, anchors: Sequence[Sequence[float]]) -> Column:
 def diverse(candidates: DataFrame, anchors: Sequence[Sequence[float]], n: int) -> list[str]:
     """The n values farthest from the anchors and each other, greedily; all if
     there are no more. Each pick is one aggregate over distributed vectors."""
-    candidates, chosen, anchors = candidates.dropDuplicates(["value"]), [], list(anchors)
+    candidates, chosen, anchors = candidates.dropDuplicates(["value"]).persist(), [], list(anchors)
     few = [r["value"] for r in candidates.select("value").orderBy("value").limit(n + 1).collect()]
-    if len(few) <= n:
-        return few
-    for _ in range(n):
+    for _ in range(n if len(few) > n else 0):
         left = candidates.where(~F.col("value").isin(chosen)) if chosen else candidates
         best = left.withColumn("away", _away(candidates, anchors)).agg(F.min(F.struct((-F.col("away")).alias("d"), "value", "vector")).alias("b")).first()["b"]
         chosen.append(best["value"])
         anchors.append(best["vector"])
-    return chosen
+    candidates.unpersist()
+    return chosen or few
 
 
 def suspicious(candidates: DataFrame, anchors: Sequence[Sequence[float]], n: int, frequencies: dict[str, int], bonus: bool = True) -> list[str]:
     """The n values with the largest sum of diversity and artifact score, both
     relative to the largest among the values left; picked one by one."""
-    candidates, chosen, anchors = candidates.dropDuplicates(["value"]), [], list(anchors)
+    scored, chosen, anchors = candidates.dropDuplicates(["value"]).withColumn("odd", artifact_score(F.col("value"), frequencies, bonus)).persist(), [], list(anchors)
+    candidates = scored  # vectors are computed once, for all picks
     few = [r["value"] for r in candidates.select("value").orderBy("value").limit(n + 1).collect()]
-    if len(few) <= n:
-        return few
-    scored = candidates.withColumn("odd", artifact_score(F.col("value"), frequencies, bonus))
-    for _ in range(n):
+    for _ in range(n if len(few) > n else 0):
         left = (scored.where(~F.col("value").isin(chosen)) if chosen else scored).withColumn("away", _away(candidates, anchors))
         top = left.agg(F.max("away").alias("away"), F.max("odd").alias("odd")).first()
         score = sum((F.col(c) / F.lit(top[c]) if top[c] else F.col(c)) for c in ("away", "odd"))
         best = left.withColumn("score", score).agg(F.min(F.struct((-F.col("score")).alias("s"), "value", "vector")).alias("b")).first()["b"]
         chosen.append(best["value"])
         anchors.append(best["vector"])
-    return chosen
+    scored.unpersist()
+    return chosen or few
 
 
 def oracle_sample(vectors: DataFrame, marked: Column, used: Sequence[str], n: int, frequencies: dict[str, int], bonus: bool = True) -> list[str]:

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
-from tidyloom.functions.detector import NOTHING
+from tidyloom.functions.detector import NOTHING, gate
 from tidyloom.plans.model import CorrectionRule, Dependency, DetectorRule
 
 
@@ -221,6 +221,33 @@ class ChatAgent(OfflineMiner):
         return Dependency(str(answer.get("determinant")), column, str(answer.get("reasoning", "")))
 
 
+def _detects(agent: RuleAgent) -> bool:
+    found = agent.propose_detector("weight", [("12 kg", 40), ("12", 30), ("15 kg", 9), ("15", 8)])
+    gate(found.code)
+    return True
+
+
+def _revises(agent: RuleAgent) -> bool:
+    labels = [OracleLabel("12 kg", True, False), OracleLabel("12", False, False)]
+    found = agent.revise_detector("weight", DetectorRule(NOTHING), labels, "MISSED '12 kg': it is an error and was not marked")
+    gate(found.code)
+    return True
+
+
+def _repairs(agent: RuleAgent) -> bool:
+    found = agent.propose_correction("weight", [Item("12 kg", 40, "12", False, 1, ("12",)), Item("15 kg", 9, "15", False, 1, ("15",))])
+    return OfflineMiner._applied(found, "17 kg") == "17"
+
+
+def _depends(agent: RuleAgent) -> bool:
+    found = agent.propose_dependency("region", ["town", "colour"], {"town": [["Ulm", "south"]], "colour": [["red", "south"]]})
+    return found is not None and found.determinant in ("town", "colour")
+
+
+#: A case for each role: the answer's form is right if it raises nothing, and it passes the gate if true.
+CASES = [("detection", _detects), ("revision", _revises), ("specifier", _repairs), ("dependency", _depends)]
+
+
 def suitability(agent: RuleAgent, cases: Sequence[tuple[str, object]], repetitions: int = 3) -> dict[str, dict[str, int]]:
     """How often each role's answer has the right form, and how often it passes
     a check: cases are (role, callable(agent) -> bool)."""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidyloom.functions.detector import NOTHING, marks_nothing
 from tidyloom.operators import cascade, dependency, metrics, profile, refinement, sampling
-from tidyloom.operators.names import RID, col, mask
+from tidyloom.operators.names import RID, col, mask, told
 from tidyloom.plans import cleaner
 from tidyloom.plans.agents import Item, OfflineMiner, RuleAgent
 from tidyloom.plans.model import CleanerPlan, CorrectionRule, Dependency, DetectorRule
@@ -32,6 +32,7 @@ class Settings:
     correction_tries: int = 3
     model_folder: str | None = None
     seed: int = 0
+    python: bool = False  # run rules of kind "code" and detectors outside the compiled language
 
 
 @dataclass
@@ -57,6 +58,7 @@ class Built:
     total: DataFrame
     detection: DataFrame
     trail: DataFrame
+    correction: DataFrame
 
 
 def _labels(pair: TablePair, work: ColumnWork) -> DataFrame:
@@ -90,7 +92,7 @@ def detect_column(pair: TablePair, work: ColumnWork, vectors: DataFrame, agent:
                 work.name, first, vectors, oracle, frequencies, agent, settings.iterations, settings.per_iteration, settings.precision_floor, settings.artifact_bonus
             )
     except Exception as e:  # a column's failure stays in the column
-        work.log.append(f"detection failed: {type(e).__name__}: {' '.join(str(e).split())[:200]}")
+        work.log.append(f"detection failed: {told(e)}")
 
 
 def find_dependency(pair: TablePair, work: ColumnWork, masked: DataFrame, candidates: list[str], agent: RuleAgent) -> Dependency | None:
@@ -124,10 +126,10 @@ def correct_column(pair: TablePair, work: ColumnWork, agent: RuleAgent, settings
             rule = CorrectionRule("none", reasoning=rule.reasoning, error_found=rule.error_found)
         work.correction = rule
         try:
-            work.code_gate = cascade.code_gate(labels, rule)
+            work.code_gate = cascade.code_gate(labels, rule, settings.python)
             return
         except Exception as e:  # the rule can't be compiled or run: ask once more
-            problem = f"{type(e).__name__}: {' '.join(str(e).split())[:200]}"
+            problem = told(e)
             work.log.append(f"correction rejected: {problem}")
     work.correction, work.code_gate = None, False
 
@@ -150,16 +152,16 @@ def build(pair: TablePair, agent: RuleAgent | None = None, settings: Settings =
             if r["target"] in candidates:
                 candidates[r["target"]].append((-r["ratio"], place[r["candidate"]], r["candidate"]))
     candidates = {k: [c for *_, c in sorted(v)] for k, v in candidates.items()}
-    intra = cleaner.masked(pair.dirty, plan).cache()
+    intra = cleaner.masked(pair.dirty, plan, python=settings.python).cache()
     for w in works:
         if candidates[w.name]:
             try:
                 w.found = find_dependency(pair, w, intra, candidates[w.name], agent)
                 w.dependency_gate = w.found is not None
             except Exception as e:
-                w.log.append(f"dependency failed: {type(e).__name__}: {' '.join(str(e).split())[:200]}")
+                w.log.append(f"dependency failed: {told(e)}")
     plan = CleanerPlan(plan.columns, detectors, detect=tuple(w.found for w in works if w.found), dataset=pair.dataset, origin=stamp)
-    both = cleaner.masked(pair.dirty, plan).cache()
+    both = cleaner.masked(pair.dirty, plan, python=settings.python).cache()
     marked = both.agg(*[F.count_if(col(mask(w.name))).alias(w.name) for w in works]).first().asDict() if works else {}
 
     for w in works:
@@ -171,7 +173,7 @@ def build(pair: TablePair, agent: RuleAgent | None = None, settings: Settings =
                     w.repairs = find_dependency(pair, w, both, candidates[w.name], agent)
         except Exception as e:
             w.correction = w.repairs = None
-            w.log.append(f"correction failed: {type(e).__name__}: {' '.join(str(e).split())[:200]}")
+            w.log.append(f"correction failed: {told(e)}")
     plan = CleanerPlan(
         plan.columns,
         detectors,
@@ -181,8 +183,8 @@ def build(pair: TablePair, agent: RuleAgent | None = None, settings: Settings =
         pair.dataset,
         stamp,
     )
-    applied = cleaner.repaired(both, plan)
+    applied = cleaner.repaired(both, plan, settings.python)
     pairs = metrics.paired(applied, pair.clean, pair.targets)
     holdout = pair.dirty.sparkSession.createDataFrame([(r[RID],) for w in works for r in w.labels], f"{RID} long")
     repair = metrics.repair_metrics(pairs, pair.targets)
-    return Built(plan, works, applied, repair, metrics.repair_total(repair), metrics.detection_metrics(pairs, pair.targets, holdout), cleaner.trail_counts(applied, pair.targets))
+    return Built(plan, works, applied, repair, metrics.repair_total(repair), metrics.detection_metrics(pairs, pair.targets, holdout), cleaner.trail_counts(applied, pair.targets), metrics.correction_metrics(pairs, pair.targets, holdout))

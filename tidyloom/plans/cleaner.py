@@ -22,10 +22,11 @@ from tidyloom.plans.model import CleanerPlan
 CODE, BY_DEPENDENCY, UNRESOLVED = "code", "dependency", "unresolved"
 
 
-def masked(df: DataFrame, plan: CleanerPlan, log: list[str] | None = None) -> DataFrame:
-    """df with m__<column> for the plan's columns: rules, then deviations."""
+def masked(df: DataFrame, plan: CleanerPlan, log: list[str] | None = None, python: bool = False) -> DataFrame:
+    """df with m__<column> for the plan's columns: rules, then deviations. With
+    ``python``, rules outside the compiled language run as batched Python."""
     columns = [c for c in plan.columns if c in df.columns]
-    df = intra_masks(df, {c: plan.detectors[c].code if c in plan.detectors else None for c in columns}, log)
+    df = intra_masks(df, {c: plan.detectors[c].code if c in plan.detectors else None for c in columns}, log, python)
     wanted = [d for d in plan.detect if d.determinant in df.columns and d.dependent in columns]
     if not wanted:
         return df
@@ -34,13 +35,13 @@ def masked(df: DataFrame, plan: CleanerPlan, log: list[str] | None = None) -> Da
     return union_masks(df, sorted({d.dependent for d in wanted}), "m__", "d__").select(*[col(c) for c in kept])
 
 
-def repaired(df: DataFrame, plan: CleanerPlan) -> DataFrame:
+def repaired(df: DataFrame, plan: CleanerPlan, python: bool = False) -> DataFrame:
     """masked rows with x__, f__ and t__<column>: value, flag and layer."""
     columns = [c for c in plan.columns if c in df.columns]
     usable = [d for d in plan.correct if d.determinant in df.columns and d.dependent in columns]
     kept = list(df.columns)
     df = dependency.with_modes(df, usable, "m__", "__mode")
-    coded = {c: compile_corrector(plan.correctors[c], col(c)) for c in columns if c in plan.correctors and plan.correctors[c].kind != "none"}
+    coded = {c: compile_corrector(plan.correctors[c], col(c), python) for c in columns if c in plan.correctors and plan.correctors[c].kind != "none"}
     df = df.withColumns({f"__code{k}": F.coalesce(coded[c], F.lit("")) for k, c in enumerate(coded)})
     code_of = {c: F.col(f"__code{k}") for k, c in enumerate(coded)}
     out = []
@@ -58,8 +59,8 @@ def repaired(df: DataFrame, plan: CleanerPlan) -> DataFrame:
     return df.withColumns({flag(c): F.coalesce(col(trail(c)) == UNRESOLVED, F.lit(False)) for c in columns})
 
 
-def apply_plan(df: DataFrame, plan: CleanerPlan, log: list[str] | None = None) -> DataFrame:
-    return repaired(masked(df, plan, log), plan)
+def apply_plan(df: DataFrame, plan: CleanerPlan, log: list[str] | None = None, python: bool = False) -> DataFrame:
+    return repaired(masked(df, plan, log, python), plan, python)
 
 
 def corrected(applied: DataFrame, columns: Sequence[str], original: Sequence[str]) -> DataFrame:

@@ -70,7 +70,7 @@ class CleanerPlan:
         return [c for c in self.columns if c in self.correctors and self.correctors[c].kind != "none" and c in by_dependency]
 
     def to_json(self) -> str:
-        return json.dumps(asdict(self) | {"warning": "rules generalise the form of the errors that were seen; review before use"}, ensure_ascii=False, indent=1)
+        return json.dumps(asdict(self) | {"both_layers": self.both_layers(), "warning": "rules generalise the form of the errors that were seen; review before use"}, ensure_ascii=False, indent=1)
 
     @staticmethod
     def from_json(text: str) -> CleanerPlan:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidyloom.operators.names import RID, col, mask
@@ -53,10 +56,17 @@ def detection_report(built: Built) -> str:
         m = by_name.get(w.name, {})
         lines += ["", f"## {w.name}", "", f"precision {m.get('precision')}, recall {m.get('recall')}, f1 {m.get('f1')}", ""]
         lines += [w.detector.reasoning or "(no reasoning)", "", "```python", w.detector.code.rstrip(), "```"]
+        if w.detector.pattern:
+            lines.append(f"- pattern: `{w.detector.pattern}`")
         for step in w.detector.history:
             lines.append(f"- iteration {step['iteration']}: {step['status']}; looked at {step['sampled']}")
+            if step["changed"]:
+                lines += ["  before:", "```python", step["before"].rstrip(), "```", "  after:", "```python", step["after"].rstrip(), "```"]
         if w.found:
             lines.append(f"- deviations from {w.found.determinant}: {w.found.reasoning}")
+        if w.correction:
+            said = {k: v for k, v in asdict(w.correction).items() if v not in (None, "", "none") and k in ("kind", "pattern", "replacement", "mapping", "value", "guard", "code", "reasoning")}
+            lines.append(f"- correction ({_gate(w.code_gate)}): {json.dumps(said, ensure_ascii=False)}")
     return "\n".join(lines) + "\n"
 
 
@@ -69,6 +79,7 @@ def write_run(spark: SparkSession, pair: TablePair, built: Built, base: str, sta
     write_table(cleaner.flags(built.applied, pair.targets, [RID]), f"{folder}/flags", "csv")
     write_text(spark, f"{folder}/plan.json", built.plan.to_json())
     write_json(spark, f"{folder}/detection.json", rows_of(built.detection))
+    write_json(spark, f"{folder}/correction.json", rows_of(built.correction))
     write_json(spark, f"{folder}/repair.json", {"columns": rows_of(built.repair), "total": rows_of(built.total)[0] if pair.targets else {}})
     write_text(spark, f"{folder}/cascade.md", cascade_report(built))
     write_text(spark, f"{folder}/detection.md", detection_report(built))

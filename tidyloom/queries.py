@@ -3,6 +3,7 @@ keys determine, and the same in SQL."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +11,12 @@ from pyspark.sql import functions as F
 
 from tidyloom.functions.corrector import compile_corrector
 from tidyloom.functions.detector import compile_detector
-from tidyloom.operators import dependency, detection, metrics, profile, sampling
-from tidyloom.operators.names import RID, col, mask
+from tidyloom.operators import cascade, dependency, detection, metrics, profile, refinement, sampling
+from tidyloom.operators.names import RID, col, fixed, mask
 from tidyloom.plans import cleaner
-from tidyloom.plans.agents import rule
-from tidyloom.plans.model import CleanerPlan, CorrectionRule, Dependency
+from tidyloom.plans.agents import OracleLabel, StaticAgent, rule
+from tidyloom.plans.model import CleanerPlan, CorrectionRule, Dependency, DetectorRule
+from tidyloom.sources.tables import as_text, make_pair, read_literal_csv, with_row_key, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -140,11 +142,12 @@ def oracle_labels(spark, sf_dir):
 @query(
     f"""with {CUSTOMER_SQL}, p as (select nation as dirty, clean_nation as clean, count(*) as n, min(rid) as first from customer_d group by 1, 2),
     r as (select *, row_number() over (partition by dirty order by first, clean) as place from p)
-    select dirty, cast(sum(n) as bigint) as frequency, min(case when place = 1 then clean end) as clean, count(*) > 1 as ambiguous, count(*) as distinct_clean from r group by dirty"""
+    select dirty, cast(sum(n) as bigint) as frequency, min(case when place = 1 then clean end) as clean, count(*) > 1 as ambiguous, count(*) as distinct_clean,
+      string_agg(clean, '|' order by place) filter (where place <= 4) as examples from r group by dirty"""
 )
 def ambiguity_items(spark, sf_dir):
     df = customers(spark, sf_dir)
-    return profile.ambiguity_items(df, df.select(RID, F.col("clean_nation").alias("nation")), "nation").drop("examples")
+    return profile.ambiguity_items(df, df.select(RID, F.col("clean_nation").alias("nation")), "nation").withColumn("examples", F.array_join("examples", "|"))
 
 
 @query(f"with {PART_SQL} select cast(count(*) filter (where size like '%oz' and size <> clean_size) as double) / count(*) filter (where size like '%oz') as precision from part_d")
@@ -214,10 +217,16 @@ _fixes("code_constant", orders, "priority", CorrectionRule("constant", value="",
 _fixes("code_identity", orders, "priority", CorrectionRule("none"), f"with {ORDER_SQL} select rid, priority as value from orders_d")
 
 
-@query(f"with {PART_SQL} select bool_and(case when regexp_matches(size, '(?i)oz') then regexp_replace(size, '\\s*(?:oz|OZ\\.)$', '', 'g') else size end = clean_size) as passes from part_d where rid <= 12")
+@query(f"with {PART_SQL} select bool_and(case when regexp_matches(size, '(?i)oz') then regexp_replace(size, '\\s*(?:oz|OZ\\.)$', '', 'g') else size end = clean_size) as passes from part_d")
 def gate_code(spark, sf_dir):
-    labels = parts(spark, sf_dir).where(F.col(RID) <= 12)  # the feature is a gate on the labelled rows
-    return labels.agg(F.bool_and(compile_corrector(OZ, F.col("size")).eqNullSafe(F.col("clean_size"))).alias("passes"))
+    labels = parts(spark, sf_dir).select(F.col("size").alias("dirty"), F.col("clean_size").alias("clean"))  # every row has its clean value here
+    return spark.createDataFrame([(cascade.code_gate(labels, OZ),)], "passes boolean")
+
+
+@query(f"with {PART_SQL} select bool_and(regexp_replace(size, '\\s*oz$', '', 'g') = clean_size) as passes from part_d")
+def gate_code_fails(spark, sf_dir):
+    labels = parts(spark, sf_dir).select(F.col("size").alias("dirty"), F.col("clean_size").alias("clean"))
+    return spark.createDataFrame([(cascade.code_gate(labels, CorrectionRule("regex_sub", r"\s*oz$", "")),)], "passes boolean")
 
 
 # Dependencies
@@ -269,7 +278,7 @@ def fd_chained(spark, sf_dir):
 
 
 @query(
-    f"""with {CUSTOMER_SQL}, l as (select rid, nation_id as det, nation as own, clean_nation as clean, nation <> clean_nation as is_error from customer_d where rid <= 30),
+    f"""with {CUSTOMER_SQL}, l as (select rid, nation_id as det, nation as own, clean_nation as clean, nation <> clean_nation as is_error from customer_d),
     c as (select nation_id as det, nation as v, count(*) as n from customer_d group by 1, 2),
     k as (select l.*, c.v, c.n - case when not is_error and c.v = own then 1 else 0 end as n from l left join c on l.det = c.det),
     p as (select *, row_number() over (partition by rid order by n desc, v) as place from k where n > 0)
@@ -277,7 +286,7 @@ def fd_chained(spark, sf_dir):
 )
 def fd_gate_loo(spark, sf_dir):
     df = customers(spark, sf_dir)
-    labels = df.where(F.col(RID) <= 30).select(RID, F.col("clean_nation").alias("clean"), (F.col("nation") != F.col("clean_nation")).alias("is_error"))  # the labelled rows
+    labels = df.select(RID, F.col("clean_nation").alias("clean"), (F.col("nation") != F.col("clean_nation")).alias("is_error"))  # every row has its clean value here
     return dependency.gate_rows(df, labels, NATION).select(F.col(RID).alias("rid"), "predicted", "passes")
 
 
@@ -421,20 +430,199 @@ def metric_total(spark, sf_dir):
     return metrics.repair_total(metrics.repair_metrics(measured(spark, sf_dir), COLUMNS))
 
 
-# Sampling by vectors: checked by rows
+# Sources
+
+
+@query(f"with {CUSTOMER_SQL} select nation, region, segment, count(*) as n from customer_d group by 1, 2, 3")
+def csv_round_trip(spark, sf_dir):
+    """Written as CSV and read back literally: empty cells stay empty texts."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{shared}/tidyloom/{spark.sparkContext.applicationId}/customers-{uuid.uuid4().hex[:12]}.csv"
+    write_table(customers(spark, sf_dir).select("nation", "region", "segment"), path, "csv")
+    return read_literal_csv(spark, path).groupBy("nation", "region", "segment").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select p_partkey as rid, p_name as name, cast(p_size as varchar) as size, p_retailprice is not null as priced from part")
+def typed_as_text(spark, sf_dir):
+    df = as_text(table(spark, sf_dir, "part"), ["p_name", "p_size", "p_retailprice"], "p_partkey")
+    return df.select(F.col(RID).alias("rid"), F.col("p_name").alias("name"), F.col("p_size").alias("size"), (F.col("p_retailprice") != "").alias("priced"))
+
+
+@query("select count(*) as n, count(*) as keys, cast(0 as bigint) as least, count(*) - 1 as most from lineitem")
+def row_keys(spark, sf_dir):
+    keyed = with_row_key(table(spark, sf_dir, "lineitem").select("l_orderkey"))
+    return keyed.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(RID).alias("keys"), F.min(RID).alias("least"), F.max(RID).alias("most"))
+
+
+@query("select * from (values ('nation', true), ('region', true), ('segment', false), ('index', false)) v(col_name, target)")
+def target_columns(spark, sf_dir):
+    df = customers(spark, sf_dir).select(RID, F.col("nation_id").alias("index"), "nation", "region", "segment")
+    pair, some = make_pair(df, df, "customers"), make_pair(df, df, "customers", ["nation", "region"])
+    return spark.createDataFrame([(c, c in some.targets and c in pair.targets) for c in pair.columns], "col_name string, target boolean")
+
+
+# Plans and their failures
+
+
+@query(f"with {APPLIED_SQL} select rid, x_nation as nation, x_region as region from applied")
+def plan_round_trip(spark, sf_dir):
+    """The plan as it comes back from its JSON."""
+    plan = CleanerPlan.from_json(CUSTOMER_PLAN.to_json())
+    return cleaner.corrected(cleaner.apply_plan(customers(spark, sf_dir), plan), ["nation", "region"], [RID, "nation", "region"]).withColumnRenamed(RID, "rid")
+
+
+@query(f"with {PART_SQL} select rid, false as size_marked, brand = 'Brand#13' as brand_marked, true as told from part_d")
+def rejected_rule(spark, sf_dir):
+    """A rule outside the language leaves its column unmarked, is told, and does nothing to others."""
+    log: list[str] = []
+    df = detection.intra_masks(parts(spark, sf_dir), {"size": rule("eval('col')").code, "brand": rule("col.eq('Brand#13')").code}, log)
+    return df.select(F.col(RID).alias("rid"), F.col("m__size").alias("size_marked"), F.col("m__brand").alias("brand_marked"), F.lit(len(log) == 1).alias("told"))
+
+
+@query(f"with {PART_SQL} select rid, size like '%oz' as marked, case when size like '%oz' then replace(size, ' oz', '') else size end as value from part_d")
+def odd_names(spark, sf_dir):
+    """Columns whose names hold dots, dashes and quotes."""
+    odd = "PM2.5 `x`-y"
+    df = parts(spark, sf_dir).select(RID, F.col("size").alias(odd))
+    plan = CleanerPlan((odd,), {odd: rule("col.str.endswith('oz', na=False)")}, {odd: CorrectionRule("regex_sub", " oz$", "")})
+    return cleaner.apply_plan(df, plan).select(F.col(RID).alias("rid"), col(mask(odd)).alias("marked"), col(fixed(odd)).alias("value"))
+
+
+@query(f"with {PART_SQL} select rid, length(size) > 3 or size = '7' as marked from part_d")
+def python_detector(spark, sf_dir):
+    """A rule outside the compiled language, run as batched Python where that is asked for."""
+    code = "def detectar(col):\n    if len(col) == 0:\n        return col.isna()\n    return (col.str.len() > 3) | col.isin(['7'])"
+    out = cleaner.masked(parts(spark, sf_dir), CleanerPlan(("size",), {"size": DetectorRule(code)}), python=True)
+    return out.select(F.col(RID).alias("rid"), F.col("m__size").alias("marked"))
+
+
+@query(f"with {PART_SQL} select rid, case when size like '% %' then split_part(size, ' ', 1) else size end as value from part_d")
+def python_corrector(spark, sf_dir):
+    fix = CorrectionRule("code", code="def corrigir(valor):\n    return re.sub(' .*', '', valor)")
+    out = cleaner.apply_plan(parts(spark, sf_dir), CleanerPlan(("size",), {"size": rule("col.str.contains(' ', regex=False, na=False)")}, {"size": fix}), python=True)
+    return out.select(F.col(RID).alias("rid"), F.col("x__size").alias("value"))
+
+
+# Refinement, over all distinct values: the oracle labels every one
+
+
+def oz_values(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    df = parts(spark, sf_dir)
+    oracle = profile.oracle_labels(df, df.select(RID, F.col("clean_size").alias("size")), "size")
+    return sampling.embedded(df.select(F.col("size").alias("value")).distinct()), oracle
+
+
+VALUES_SQL = f"{PART_SQL}, v as (select size as value, bool_or(size <> clean_size) as is_error from part_d group by size)"
+
+
+@query(f"with {VALUES_SQL} select value, value like '%oz' as marked from v")
+def rule_classes(spark, sf_dir):
+    vectors, _ = oz_values(spark, sf_dir)
+    found = refinement.classify(vectors, rule("col.str.endswith('oz', na=False)").code, [r["value"] for r in vectors.select("value").collect()])  # a dictionary of sizes
+    return spark.createDataFrame(sorted(found.items()), "value string, marked boolean")
+
+
+@query(
+    f"""with {VALUES_SQL} select case when is_error and not value like '%oz' then 'MISSED ''' || value || ''': it is an error and was not marked'
+      when value like '%oz' and not is_error then 'FALSE ALARM ''' || value || ''': it is correct and was marked'
+      else 'OK ''' || value || ''': ' || case when value like '%oz' then 'an error, marked' else 'correct, left alone' end end as line from v"""
+)
+def oracle_feedback(spark, sf_dir):
+    vectors, oracle = oz_values(spark, sf_dir)
+    known = {r["value"]: r["is_error"] for r in oracle.collect()}
+    marked = refinement.classify(vectors, rule("col.str.endswith('oz', na=False)").code, list(known))
+    lines = refinement.feedback_text([OracleLabel(v, e, marked[v]) for v, e in known.items()]).split("\n")
+    return spark.createDataFrame([(x,) for x in lines], "line string")
+
+
+class Reviser(StaticAgent):
+    """Answers every question for a revision with the rule that it was given."""
+
+    def __init__(self, expression: str):
+        super().__init__()
+        self.expression = expression
+
+    def revise_detector(self, column, rule_now, labels, feedback):
+        return rule(self.expression)
+
+
+def refined(spark: SparkSession, sf_dir: str, expression: str) -> DataFrame:
+    vectors, oracle = oz_values(spark, sf_dir)
+    out = refinement.refine("size", rule("col.str.endswith('oz', na=False)"), vectors, oracle, {}, Reviser(expression), iterations=2, per_iteration=100_000)
+    return spark.createDataFrame([(h["iteration"], h["status"], h["changed"], out.oracle_labels) for h in out.history], "iteration int, status string, changed boolean, labels long")
+
+
+REFINED_SQL = """with {values}, p as (select count(*) as n, count(*) filter (where is_error and {test})::double / count(*) filter (where {test}) as precision from v)
+    select cast(i as int) as iteration, case when i = 2 then 'no_sample' when precision < 0.8 then 'rejected: precision ' || printf('%.2f', precision) else 'kept' end as status,
+      i = 1 and precision >= 0.8 as changed, n as labels from p, (values (1), (2)) t(i)"""
+
+
+@query(REFINED_SQL.format(values=VALUES_SQL, test="(value like '%o%' or value like '%O%')"))
+def refinement_kept(spark, sf_dir):
+    return refined(spark, sf_dir, "col.str.contains('(?i)o', na=False)")
+
+
+@query(REFINED_SQL.format(values=VALUES_SQL, test="not value like '%oz'"))
+def refinement_rejected(spark, sf_dir):
+    """A revision that is right too rarely leaves the rule as it was."""
+    return refined(spark, sf_dir, "~col.str.endswith('oz', na=False)")
+
+
+@query(
+    f"""{MI_SQL}, m as (select *, max(mi) over (partition by c) as most from mi), f as (select c, c2 from m where c <> c2 and mi / most >= cast(0.45 as double)),
+    wished(dependent, determinant) as (values ('nation', 'nation_id'), ('region', 'nation'), ('segment', 'nation'))
+    select dependent, determinant, c is not null as proposed from wished left join f on c = dependent and c2 = determinant"""
+)
+def fd_proposal(spark, sf_dir):
+    """What an agent proposes counts if it is among the candidates and names columns."""
+    wished = {"nation": "nation_id", "region": "nation", "segment": "nation"}
+    df, agent = customers(spark, sf_dir), StaticAgent(dependencies=wished)
+    candidates: dict[str, list[str]] = {}
+    for r in dependency.determinant_candidates(df, MI_COLUMNS).collect():  # pairs of columns
+        candidates.setdefault(r["target"], []).append(r["candidate"])
+    rows = [(c, d, dependency.valid_names(agent.propose_dependency(c, candidates.get(c, []), {}), MI_COLUMNS)) for c, d in wished.items()]
+    return spark.createDataFrame(rows, "dependent string, determinant string, proposed boolean")
+
+
+# Sampling by vectors
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("value"), F.col("embedding").alias("vector"))
 
 
 @query()
 def kmeans_reps(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("value"), F.col("embedding").alias("vector"))
-    picks = sampling.representatives(vectors)
+    picks = sampling.representatives(embeddings(spark, sf_dir))
     return spark.createDataFrame([(i, v) for i, v in enumerate(picks)], "place int, value string")
 
 
-@query()
+@query("select cast(row_number() over (order by value) - 1 as int) as place, value from (select distinct c_mktsegment as value from customer)")
+def few_reps(spark, sf_dir):
+    """No more values than are asked for: all of them."""
+    values = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("value")).distinct()
+    return spark.createDataFrame([(i, v) for i, v in enumerate(sampling.representatives(sampling.embedded(values)))], "place int, value string")
+
+
+@query("select p_type as value, 256 as width, 1.0::double as norm from part group by p_type")
+def embedding_norms(spark, sf_dir):
+    vectors = sampling.embedded(table(spark, sf_dir, "part").select(F.col("p_type").alias("value")).distinct())
+    squares = F.aggregate("vector", F.lit(0.0).cast("double"), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return vectors.select("value", F.size("vector").alias("width"), F.round(F.sqrt(squares), 5).alias("norm"))
+
+
+@query(
+    """with e as (select cast(vec_id as varchar) as value, embedding::double[] as v from embeddings),
+    u as (select unnest(v) as x, generate_subscripts(v, 1) as i from e), c as (select list(a order by i) as v from (select i, avg(x) as a from u group by i)),
+    p1 as (select value, e.v from e, c order by list_distance(e.v, c.v) desc, value limit 1),
+    p2 as (select e.value, e.v from e, p1 where e.value <> p1.value order by list_distance(e.v, p1.v) desc, e.value limit 1),
+    p3 as (select e.value, e.v from e, p1, p2 where e.value not in (p1.value, p2.value) order by least(list_distance(e.v, p1.v), list_distance(e.v, p2.v)) desc, e.value limit 1),
+    p4 as (select e.value, e.v from e, p1, p2, p3 where e.value not in (p1.value, p2.value, p3.value)
+      order by least(list_distance(e.v, p1.v), list_distance(e.v, p2.v), list_distance(e.v, p3.v)) desc, e.value limit 1)
+    select 0 as place, value from p1 union all select 1, value from p2 union all select 2, value from p3 union all select 3, value from p4"""
+)
 def farthest_point(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("value"), F.col("embedding").alias("vector"))
-    return spark.createDataFrame([(i, v) for i, v in enumerate(sampling.diverse(vectors, [], 4))], "place int, value string")
+    return spark.createDataFrame([(i, v) for i, v in enumerate(sampling.diverse(embeddings(spark, sf_dir), [], 4))], "place int, value string")
 
 
 @query()
@@ -443,3 +631,11 @@ def suspicious_values(spark, sf_dir):
     vectors = sampling.embedded(df.select(F.col("p_type").alias("value")).distinct())
     counted = {r["char"]: r["df"] for r in profile.character_frequency(df, "p_type").collect()}  # characters
     return spark.createDataFrame([(i, v) for i, v in enumerate(sampling.suspicious(vectors, [], 4, counted))], "place int, value string")
+
+
+@query("select distinct p_type as value, true as once from part where p_type <> 'PROMO'")
+def oracle_sampling(spark, sf_dir):
+    """More than there are: every value not used before, each once."""
+    vectors = sampling.embedded(table(spark, sf_dir, "part").select(F.col("p_type").alias("value")).distinct())
+    picked = sampling.oracle_sample(vectors, F.col("value").startswith("E"), ["PROMO"], 1_000, {})
+    return spark.createDataFrame([(v, picked.count(v) == 1) for v in picked], "value string, once boolean")

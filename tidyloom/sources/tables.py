@@ -10,6 +10,7 @@ from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidyloom.operators.names import RID, col
 
@@ -34,25 +35,23 @@ def dataset_name(path: str) -> str:
     return re.sub(r"_(?:dirty|sujo)(?=_|$)", "", PurePosixPath(path).stem, flags=re.I)
 
 
-def read_literal_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_literal_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Every cell as the text that stands in the file; empty stays empty. The row
-    key is the row's place, taken from one split of the file (multi-line CSV)."""
-    raw = spark.read.options(header=True, escape='"', multiLine=True, inferSchema=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, encoding="UTF-8").csv(path)
+    key is the row's place. A file whose cells may hold line ends is read by one
+    task; ``multi_line=False`` lets very large files be split."""
+    raw = spark.read.options(header=True, escape='"', multiLine=multi_line, inferSchema=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, encoding="UTF-8").csv(path)
     return with_row_key(raw.na.fill(""))
 
 
 def with_row_key(df: DataFrame) -> DataFrame:
-    """_rid from 0 in input order: a count per partition, then an offset each."""
+    """_rid from 0 in input order: a count per partition, and a join with the
+    sums of the counts before (a row a partition)."""
     placed = df.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
-    starts, at = [], 0
-    for r in placed.groupBy("__part").count().orderBy("__part").collect():  # one row a partition
-        starts.append((r["__part"], at))
-        at += r["count"]
-    if not starts:
-        return df.withColumn(RID, F.lit(0).cast("long"))
-    offsets = F.create_map(*[F.lit(x) for part, start in starts for x in (part, start)])
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counted = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
+    starts = counted.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
     local = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.withColumn(RID, (F.element_at(offsets, F.col("__part")) + local).cast("long")).drop("__part", "__at")
+    return placed.join(F.broadcast(starts), "__part").withColumn(RID, (F.col("__start") + local).cast("long")).drop("__part", "__at", "__start")
 
 
 def load_pair(spark: SparkSession, dirty: str, clean: str, columns: Sequence[str] | None = None) -> TablePair:
@@ -86,6 +85,21 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
     writer.option("header", True).option("escape", '"').option("emptyValue", "").csv(path) if kind == "csv" else writer.format(kind).save(path)
 
 
+def write_csv_file(df: DataFrame, path: str) -> None:
+    """One CSV file at that very path, rows by _rid; for tables that are handed to people."""
+    spark = df.sparkSession
+    folder = f"{path}.parts"
+    rows = df.orderBy(RID).drop(RID) if RID in df.columns else df
+    rows.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(folder)
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in files.listStatus(at) if f.getPath().getName().startswith("part-"))
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files.delete(target, False)
+    files.rename(part, target)
+    files.delete(at, True)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small report, through the same file systems that Spark reads."""
     file = spark._jvm.org.apache.hadoop.fs.Path(path)
