@@ -335,6 +335,16 @@ def test_forward_of_words_of_any_length():
             assert abs(float(alpha[-1].ln()) - got[-1, k]) < 1e-6 * abs(got[-1, k])
 
 
+def test_lattice_holds_every_piece():
+    table, rng = langid.piece_table(tokencount.vocabulary(queries.PIECES)), random.Random(13)
+    for n in (1, 2, 7, 20):
+        group = ["".join(rng.choice("aeinstéßЖ日x") for _ in range(n)) for _ in range(50)]
+        lattice = table.lattice(group)
+        for k, word in enumerate(group):
+            got = {(int(i), int(i + j + 1), int(lattice[k, i, j])) for i, j in zip(*np.nonzero(lattice[k] >= 0))}
+            assert got == set(table.edges("▁" + word))
+
+
 def test_long_words_and_ties(spark):
     docs = spark.createDataFrame([(1, "q" * 3000 + " the cat", "aa"), (2, "ü" * 3000 + " der hund", "bb"), (3, "Ж" * 100_000, None), (4, "q" * 90_000, None)], "doc_id long, text string, lang string")
     model = langid.train(docs, tokencount.vocabulary(queries.PIECES))

@@ -70,6 +70,7 @@ class PieceTable:
         self.size = len(pieces) + 1
         self.longest = max(map(len, pieces))
         self.prefixes = {p[:n] for p in pieces for n in range(1, len(p))}
+        self._trie()
 
     def edges(self, word: str) -> Iterator[tuple[int, int, int]]:
         """(start, end, piece id) of every piece in the marked word, by start."""
@@ -86,20 +87,50 @@ class PieceTable:
                 if part not in prefixes:
                     break
 
+    def _trie(self) -> None:
+        """The pieces as a trie in arrays: edges sorted by (node, letter)."""
+        nodes, letters, rows = {"": 0}, {}, []
+        self.piece_of = [-1]
+        for piece, number in self.ids.items():
+            for n in range(1, len(piece) + 1):
+                if piece[:n] not in nodes:
+                    nodes[piece[:n]] = len(nodes)
+                    self.piece_of.append(-1)
+                    rows.append((nodes[piece[: n - 1]], letters.setdefault(piece[n - 1], len(letters) + 1), nodes[piece[:n]]))
+            self.piece_of[nodes[piece]] = number
+        self.piece_of = np.array(self.piece_of, np.int32)
+        self.letter_of = np.zeros(0x110000, np.int64)  # 0: in no piece
+        for letter, number in letters.items():
+            self.letter_of[ord(letter)] = number
+        self.alphabet = len(letters) + 1
+        rows.sort()
+        self.edge_keys = np.array([node * self.alphabet + letter for node, letter, _ in rows] + [np.iinfo(np.int64).max])
+        self.edge_ends = np.array([end for _, _, end in rows] + [-1])
+
     def lattice(self, words: Sequence[str]) -> np.ndarray:
         """Piece ids by word, start and length - 1 of words that are equally
-        long; -1 where no piece is."""
+        long; -1 where no piece is. All starts of all words walk down the trie at
+        once; those without a way on drop out."""
         n = len(words[0]) + 1
-        found = np.full((len(words), n, min(n, self.longest)), -1, np.int32)
-        at_word, at_start, at_length, values = [], [], [], []
-        for k, word in enumerate(words):
-            for i, j, piece in self.edges(START + word):
-                at_word.append(k)
-                at_start.append(i)
-                at_length.append(j - i - 1)
-                values.append(piece)
-        found[at_word, at_start, at_length] = values
-        return found
+        longest = min(n, self.longest)
+        found = np.full(len(words) * n * longest, -1, np.int32)
+        letters = self.letter_of[np.frombuffer("".join(START + w for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        at, node = np.arange(len(letters)), np.zeros(len(letters), np.int64)
+        for length in range(1, longest + 1):
+            inside = at % n <= n - length
+            at, node = at[inside], node[inside]
+            key = node * self.alphabet + letters[at + length - 1]
+            edge = np.searchsorted(self.edge_keys, key)
+            known = self.edge_keys[edge] == key
+            if length == 1:
+                found[at * longest] = self.unknown
+            at, node = at[known], self.edge_ends[edge[known]]
+            piece = self.piece_of[node]
+            whole = piece >= 0
+            found[at[whole] * longest + length - 1] = piece[whole]
+            if not len(at):
+                break
+        return found.reshape(len(words), n, longest)
 
 
 def forward(lattice: np.ndarray, probability: np.ndarray) -> np.ndarray:
