@@ -15,6 +15,10 @@ size - need + 1 of either (prefix filter), the block must hold enough words
 (length filter), and what follows the shared word in either must suffice
 (positional filter). Candidates are verified on the full word sets.
 
+Lines and paragraphs that hold none of the templates' anchors are passed over:
+of a template's words, size - need + 1 are anchors, the longest ones, so that
+whatever contains it to the threshold holds one of them.
+
 Templates are a fixed, small library, so their side of the join and the counts
 of their words are bounded; words outside it are never shuffled. All is
 DataFrame operations.
@@ -120,7 +124,14 @@ def word_lists(parts: Column) -> Column:
     return F.transform(parts, lambda part: F.filter(F.split(part, SEPARATORS), lambda w: w != ""))
 
 
-def scanned(docs: DataFrame, vocabularies: list[list[str]], phrases: dict[str, str], spans: list[int]) -> DataFrame:
+def anchors(templates: list[tuple[str, str]], threshold: float) -> list[str]:
+    found = set()
+    for _, ws in template_sets(templates):
+        found |= set(sorted(ws, key=lambda w: (-len(w), w))[: len(ws) - needed(len(ws), threshold) + 1])
+    return sorted(found)
+
+
+def scanned(docs: DataFrame, vocabularies: list[list[str]], held: list[str], phrases: dict[str, str], spans: list[int]) -> DataFrame:
     """One narrow pass: phrase columns, and per window of either span the words
     of that span's templates."""
     lower = docs.select("doc_id", ascii_lower(F.coalesce(F.col("text"), F.lit(""))).alias("lower"))
@@ -129,8 +140,10 @@ def scanned(docs: DataFrame, vocabularies: list[list[str]], phrases: dict[str, s
     places = [F.col(f"at{k}") for k in range(len(phrases))]
     every = F.flatten(F.array(*places))
     found = F.filter(F.array(*[F.when(F.size(at) > 0, F.lit(label)) for at, label in zip(places, phrases.values())]), lambda x: x.isNotNull())
+    holding = lambda parts: F.filter(parts, lambda ws: F.exists(ws, lambda w: w.isin(held)))
+    placed = placed.withColumn("held", holding(F.col("lines")))
     wrapped = word_lists(F.filter(F.split("lower", PARAGRAPHS), lambda p: p.contains("\n")))  # the others are lines
-    parts = F.when(F.col("lower").contains("\n"), F.concat("lines", wrapped)).otherwise(F.col("lines"))
+    parts = F.when((F.size("held") > 0) & (F.size("lines") > 1), F.concat("held", holding(wrapped))).otherwise(F.col("held"))
     placed = placed.withColumn("parts", parts)
 
     def known(vocabulary: list[str], span: int, scale: int) -> Column:
@@ -181,7 +194,7 @@ def similar_blocks(blocks: DataFrame, templates: list[tuple[str, str]], threshol
 def license_scan(docs: DataFrame, threshold: float = THRESHOLD, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES) -> DataFrame:
     own = [[t for t in templates if words_in(t[1]) <= SPAN], [t for t in templates if words_in(t[1]) > SPAN]]
     vocabularies = [sorted({w for _, ws in template_sets(ts) for w in ws}) for ts in own]
-    base = stash(scanned(docs, vocabularies, phrases, spans(templates)), "blocks")
+    base = stash(scanned(docs, vocabularies, anchors(templates, threshold), phrases, spans(templates)), "blocks")
     blocks = base.select("doc_id", "content", F.explode("blocks").alias("b")).select("doc_id", "content", "b.scale", "b.tokens")
     found = None
     for scale, ts in enumerate(own):
