@@ -3,6 +3,7 @@ repeated rows and clashing columns."""
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -156,6 +157,21 @@ def test_simhash(spark, rows):
     assert kept.columns == docs.columns and kept.count() == len(set(groups))
 
 
+def test_fingerprints_by_brute_force(spark, rows):
+    import xxhash
+
+    def brute(text):
+        ws = [w for w in re.split(r"[\x20\x09-\x0d]+", ascii_lower(text)) if w]
+        shingles = [" ".join(ws[i : i + 3]) for i in range(len(ws) - 2)] or ([" ".join(ws)] if ws else [])
+        hs = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in shingles]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+    odd = [(800, "a\u00a0b\x0bc\x1cd e f É", "a"), (801, "x " * 9000, "a"), (802, "One TWO", "a")]
+    texts = {(i, t) for i, t, _ in rows + odd}
+    got = Counter((r.doc_id, r.fingerprint) for r in simhash.near_duplicates(documents(spark, rows + odd)).collect())
+    assert set(got) == {(i, f"{brute(t):016x}") for i, t in texts}
+
+
 def test_fingerprint_is_sparks_hash(spark):
     text = "One two  three\tFOUR five"
     hs = [r[0] & (2**64 - 1) for r in spark.createDataFrame([("one two three",), ("two three four",), ("three four five",)], "s string").select(F.xxhash64("s")).collect()]
@@ -197,6 +213,32 @@ def test_cube_targets_and_balance(spark, rows):
     assert mixed.select(F.sum(cube.word_count(F.col("text")))).first()[0] == taken
 
 
+def test_targets_by_brute_force(spark):
+    """Sharing by weight in small steps: a source that is full takes no more."""
+    rng = random.Random(14)
+    for _ in range(5):
+        names = sorted({rng.choice("abcdefgh") for _ in range(8)})
+        rows = [(i, words(rng, rng.choice([1, 5, 40, 300]) if s == names[0] else rng.randrange(1, 30)), s) for i, s in enumerate(rng.choice(names) for _ in range(120))]
+        sizes = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in {s for _, _, s in rows}}
+        order = sorted(sizes)
+        want, left = dict.fromkeys(order, 0.0), 1.5 * sum(sizes.values())
+        while left > 1e-9:
+            free = [s for s in order if want[s] < 2 * sizes[s] - 1e-9]
+            unit = left / sum((5, 2, 1)[order.index(s) % 3] for s in free)
+            unit = min([unit, *((2 * sizes[s] - want[s]) / (5, 2, 1)[order.index(s) % 3] for s in free)])
+            for s in free:
+                want[s] += unit * (5, 2, 1)[order.index(s) % 3]
+                left -= unit * (5, 2, 1)[order.index(s) % 3]
+        source = {i: s for i, _, s in rows}
+        taken = Counter()
+        got = cube.mix(documents(spark, rows)).collect()
+        for r in got:
+            assert abs(r.target - want[source[r.doc_id]]) < 1e-6 and r.source_size == sizes[source[r.doc_id]] and r.taken in (0, r.size, 2 * r.size)
+            taken[source[r.doc_id]] += r.taken
+        longest = {s: max(len(t.split()) for _, t, x in rows if x == s) for s in order}
+        assert len(got) == 120 and all(abs(taken[s] - want[s]) <= longest[s] for s in order)
+
+
 def test_flight_keeps_the_totals():
     rng = random.Random(6)
     p, sizes = [rng.random() for _ in range(300)], [rng.randrange(0, 50) for _ in range(300)]
@@ -452,6 +494,32 @@ def test_word_ids_are_the_tokenizers():
         assert np.frombuffer(ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_predictions_by_brute_force(spark):
+    """Every row's language and score from the model's own probabilities, summed
+    over all segmentations word by word."""
+    import math
+
+    rng = random.Random(15)
+    pools = {"en": "the of and to in is that it was for".split(), "de": "der die und in den von zu das mit straße".split(), "fr": "le la les des une été où que qui dans".split()}
+    data = [(i, words(rng, rng.randrange(1, 12), sum((pools[x] for x in rng.sample(list(pools), rng.choice([1, 1, 2]))), [])), rng.choice([*pools, None])) for i in range(120)]
+    data += [(500, None, "en"), (501, "1 2 3", "de"), (502, "ONE Two-three x²", None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = langid.train(docs.where(langid.fold(F.col("doc_id")) != 2), tokencount.vocabulary(queries.PIECES))
+    table = langid.piece_table(model.vocabulary)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, model).collect()}
+    for i, text, _ in data:
+        found = re.findall(r"[^\W\d_]+", (text or "").lower())
+        if not found:
+            assert got[i] == ("und", 0.0)
+            continue
+        logs = []
+        for k in range(len(model.languages)):
+            known = lambda s, k=k: model.probability[table.ids[s], k] if s in table.ids else (model.probability[table.unknown, k] if len(s) == 1 else 0.0)
+            logs.append(model.prior[k] + sum(math.log(brute_forward("▁" + w, known)) for w in found))
+        best = max(range(len(logs)), key=lambda k: (logs[k], -k))
+        assert got[i][0] == model.languages[best] and abs(got[i][1] - 1 / sum(math.exp(x - logs[best]) for x in logs)) < 1e-9
+
+
 def test_rare_languages_are_learned(spark):
     rng = random.Random(8)
     pools = {"aa": "the of and to in is that it was for".split(), "bb": "der die und von zu das mit sich auf ist".split()}
