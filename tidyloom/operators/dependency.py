@@ -70,11 +70,22 @@ def deviations(df: DataFrame, dependencies: Sequence[Dependency], masks: str = "
 def mutual_information(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """target, candidate, mi (nats) for all ordered pairs of columns. Of a pair
     only value combinations that occur twice count, of a column with itself all.
-    One explode and one counting shuffle serve every pair (each unordered pair is
-    counted once)."""
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), col(columns[i]).cast("string").alias("x"), col(columns[j]).cast("string").alias("y")) for i, j in pairs])
-    counted = df.select(F.explode(cells).alias("c")).groupBy("c.i", "c.j", "c.x", "c.y").agg(F.count(F.lit(1)).cast("double").alias("k")).where("i = j or k >= 2")
+    Columns in which no value comes twice have no such combination and are left
+    out of the pairs beforehand. Two counting shuffles serve all, one of columns
+    and one of pairs (each unordered pair is counted once)."""
+    texts = [col(c).cast("string") for c in columns]
+
+    def counts(pairs: list[tuple[int, int]]) -> DataFrame:
+        cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), texts[i].alias("x"), texts[j].alias("y")) for i, j in pairs])
+        return df.select(F.explode(cells).alias("c")).groupBy("c.i", "c.j", "c.x", "c.y").agg(F.count(F.lit(1)).cast("double").alias("k"))
+
+    if not columns:
+        return df.sparkSession.createDataFrame([], "target string, candidate string, mi double")
+    counted = counts([(i, i) for i in range(len(columns))])
+    repeated = sorted(r["i"] for r in counted.groupBy("i").agg(F.max("k").alias("k")).where("k >= 2").collect())  # columns
+    pairs = [(i, j) for i in repeated for j in repeated if i < j]
+    if pairs:
+        counted = counted.unionByName(counts(pairs).where("k >= 2"))
     by_x = counted.groupBy(F.col("i").alias("xi"), F.col("j").alias("xj"), F.col("x").alias("xx")).agg(F.sum("k").alias("kx"))
     by_y = counted.groupBy(F.col("i").alias("yi"), F.col("j").alias("yj"), F.col("y").alias("yy")).agg(F.sum("k").alias("ky"))
     total = counted.groupBy("i", "j").agg(F.sum("k").alias("t"))
