@@ -172,6 +172,16 @@ def test_fingerprints_by_brute_force(spark, rows):
     assert set(got) == {(i, f"{brute(t):016x}") for i, t in texts}
 
 
+def test_long_texts_are_hashed_in_parts(monkeypatch):
+    rng = random.Random(16)
+    texts = [" \n".join(rng.choice(["a", "Bé", "ccc", "d\u00a0e"]) for _ in range(n)) for n in (0, 1, 2, 3, 4, 19_999, 20_000, 20_001, 20_002, 60_003)] + [" " * 50, "x" * 900]
+    for width in (3, 5):
+        whole = [simhash._hashes(t.encode().lower().split(), width).tolist() for t in texts]
+        monkeypatch.setattr(simhash, "LONG_BYTES", 0)
+        assert [simhash.hashes(t, width).tolist() for t in texts] == whole
+        monkeypatch.undo()
+
+
 def test_fingerprint_is_sparks_hash(spark):
     text = "One two  three\tFOUR five"
     hs = [r[0] & (2**64 - 1) for r in spark.createDataFrame([("one two three",), ("two three four",), ("three four five",)], "s string").select(F.xxhash64("s")).collect()]

@@ -84,6 +84,14 @@ def ascii_lower(text: Column) -> Column:
 
 
 _resident: dict = {}
+_kept: dict = {}
+
+
+def kept(key: tuple, make):
+    """What ``make()`` gives, kept beside what is resident until ``release``."""
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
 
 
 def resident(key: tuple, make):
@@ -99,6 +107,7 @@ def resident(key: tuple, make):
 def release() -> None:
     """Forget what the worker keeps and hand its memory back to the system."""
     _resident.clear()
+    _kept.clear()
     gc.collect()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:

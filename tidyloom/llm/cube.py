@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidyloom.llm._shared import stash, whole_rows
+from tidyloom.llm._shared import release, stash, whole_rows
 
 WEIGHTS = (5, 2, 1)
 EPSILON = 1e-9
@@ -124,6 +124,7 @@ def land(p: list[float], sizes: list[int]) -> list[float]:
 
 def _fly(seed: int, level: int):
     def one(key: tuple, rows: pa.Table) -> pa.Table:
+        release()
         rows = rows.sort_by([("size", "descending"), ("order", "ascending"), ("doc_id", "ascending")])  # small documents decide last
         p, sizes = rows["p"].to_pylist(), rows["size"].to_pylist()
         p = flight(p, sizes, random.Random(f"{seed}/{level}/{key[0].as_py()}/{key[1].as_py()}"))

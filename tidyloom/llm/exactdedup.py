@@ -40,7 +40,6 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",  # all stores of an executor share
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: don't reserve disk
-    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",  # stores of a query that has ended are closed by then
 }
 
 

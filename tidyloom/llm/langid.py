@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidyloom.llm._shared import discard, lean, release, resident, stash
+from tidyloom.llm._shared import discard, kept, lean, release, resident, stash
 
 START = "▁"
 UNDETERMINED = "und"
@@ -175,13 +175,9 @@ def log_sums(edges: Sequence[tuple[int, int, int]], n: int, logs: np.ndarray, re
     return out
 
 
-_tables: dict[str, PieceTable] = {}
-
-
 def piece_table(path: str) -> PieceTable:
-    if path not in _tables:
-        _tables[path] = PieceTable(path)
-    return _tables[path]
+    """Kept beside the worker's other tables, and forgotten with them."""
+    return kept(("piecetable", path), lambda: PieceTable(path))
 
 
 def words_of(text: str) -> list[str]:

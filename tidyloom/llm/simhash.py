@@ -35,14 +35,32 @@ from pyspark.sql.window import Window
 from tidyloom.llm._shared import discard, lean, release, stash, whole_rows
 
 SEED = 42
+SPACES = np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8)
 BROADCAST_ROWS = 500_000
 
 
+LONG_BYTES = 1 << 18
+
+
 def hashes(text: str, width: int = 3) -> np.ndarray:
+    """The shingles' hashes in order. Words of long texts are taken a part at a
+    time, so that they don't all become objects at once."""
+    data = text.encode("utf-8", "surrogatepass").lower()  # bytes.lower and .split know ASCII alone
+    if len(data) <= LONG_BYTES:
+        return _hashes(data.split(), width)
+    edges = np.diff(np.isin(np.frombuffer(data, np.uint8), SPACES, invert=True).astype(np.int8), prepend=0, append=0)
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    step = 20_000
+    found = [np.zeros(0, np.uint64)]
+    for k in range(0, max(1, len(starts) - width + 1) if len(starts) else 0, step):  # a shingle belongs to the part it starts in
+        found.append(_hashes(data[starts[k] : ends[min(k + step + width - 1, len(ends)) - 1]].split(), width))
+    return np.concatenate(found)
+
+
+def _hashes(words: list[bytes], width: int) -> np.ndarray:
     import xxhash
 
     digest = xxhash.xxh64_intdigest
-    words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes.lower and .split know ASCII alone
     if not words:
         return np.zeros(0, np.uint64)
     if len(words) < width:
