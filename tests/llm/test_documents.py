@@ -301,6 +301,17 @@ def test_run_length_index():
             assert flags.tolist() == [seen[t[i : i + length]] > 1 for i in range(len(t) - length + 1)]
     index = repeats.RunLengthIndex([b"abcabc" * 30] * 5)
     assert index.lengths.sum() == 5 * 181 and len(index.symbols) < 60  # repetitive texts have few runs
+    once = repeats.RunLengthIndex([b"abcabc" * 30, b"xyz"], [5, 1])  # copies lengthen the runs and match to their ends
+    assert once.lengths.sum() == 5 * 181 + 4 and len(once.symbols) < 60
+    assert once.matching_statistics()[:180].tolist() == list(range(180, 0, -1)) and not once.matching_statistics()[181:].any()
+
+
+def test_digests_alone_remove_nothing(spark, monkeypatch):
+    rows = [(1, "a" * 20 + "b" * 40), (2, "c" * 20 + "d" * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = repeats.document_runs
+    monkeypatch.setattr(repeats, "document_runs", lambda d, n: plain(d, n).withColumn("hash", F.lit(1).cast("long")).withColumn("same", F.lit(2).cast("long")).withColumn("looped", F.lit(False)).where("start = 0"))
+    assert [r.n_removed for r in repeats.cut_repeats(docs, 50).collect()] == [0, 0]
 
 
 @pytest.fixture(scope="module")

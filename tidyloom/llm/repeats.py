@@ -8,19 +8,20 @@ is exact and has three parts.
    bytes depends on the window's bytes alone, so equal windows meet under it.
    Neighbouring windows with the same smallest hash form a run; the runs cover
    every window of a document once. Runs whose hash occurs at one place in the
-   corpus are done. Runs that equal another run (copies, told by two hashes of 64
-   bits, of the whole run and of its smallest short string) are repeated as a
-   whole and stand for each other from here on: of a passage with thousands of
-   copies one goes into the index.
-2. Run-length index. The distinct runs that share a hash go to index batches of
-   bounded size. A batch's Burrows-Wheeler transform is run-compressed and keeps
-   the suffix positions at its run ends only. Matching statistics (the longest
-   match of each position with any other) are computed at those samples and
-   streamed over the text: between samples a match shrinks by one byte a step,
-   so a running maximum of position plus match length gives all others.
+   corpus are done. Of runs that two hashes of 64 bits (of the whole run and of
+   its smallest short string) take for copies, the first and the last go on and
+   speak for the others: of a passage with thousands of copies two are indexed.
+2. Run-length index. The runs that share a hash go to index batches of bounded
+   size. A batch's Burrows-Wheeler transform is run-compressed and keeps the
+   suffix positions at its run ends only; texts of equal bytes lengthen its runs
+   and are sorted once. Matching statistics (the longest match of each position
+   with any other) are computed at those samples and streamed over the text:
+   between samples a match shrinks by one byte a step, so a running maximum of
+   position plus match length gives all others. What matches there, byte by byte,
+   goes: equal digests of runs alone remove nothing.
 3. Crowded hashes, whose distinct runs exceed a batch (the edge of a passage
    that very many documents share), are resolved by grouping the digests of
-   their windows: linear in the runs, and no group is gathered anywhere.
+   their windows (128 bits): linear in the runs, and no group is gathered anywhere.
 
 Texts are taken as UTF-8, null as empty; matches never cross documents. Repeated
 rows count as places of their own, so equal texts of ``length`` bytes or more
@@ -31,6 +32,7 @@ doc_id and text are read.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -139,15 +141,20 @@ def document_runs(docs: DataFrame, length: int) -> DataFrame:
 
 class RunLengthIndex:
     """Run-compressed BWT of the concatenated texts with the suffix positions at
-    both ends of each run. The suffix array that it is read off is dropped."""
+    both ends of each run. The suffix array that it is read off is dropped.
 
-    def __init__(self, texts: list[bytes]):
+    ``counts`` says how often each text stands in the collection. The suffixes of
+    equal texts are neighbours with equal symbols before them, but for the
+    separators at their starts, so they only lengthen the runs."""
+
+    def __init__(self, texts: list[bytes], counts: list[int] | None = None):
         self.text, self.bounds = self._joined(texts)
+        self.counts = np.ones(len(texts), np.int64) if counts is None else np.array(counts, np.int64)
         order = self._suffix_order()
         bwt = self.text[order - 1]
         heads = np.flatnonzero(np.concatenate([[True], (bwt[1:] != bwt[:-1]) | (bwt[1:] == 0)]))  # each separator is a symbol of its own
         self.symbols = bwt[heads]
-        self.lengths = np.diff(np.concatenate([heads, [len(order)]]))
+        self.lengths = np.add.reduceat(np.repeat(self.counts, np.diff(self.bounds))[order], heads)
         self.first = order[heads]  # suffix at each run's head
         self.last = order[np.concatenate([heads[1:] - 1, [len(order) - 1]])]  # and at its end
 
@@ -228,15 +235,19 @@ class RunLengthIndex:
         preceding, following = np.zeros(n, np.int64), np.zeros(n, np.int64)
         preceding[below] = below + shared  # match with the suffix before, at run heads
         following[above] = above + shared  # match with the suffix after, at run ends
+        copied = self.counts > 1  # the runs of separators: each start's neighbour is a copy's
+        following[self.bounds[:-1][copied]] = self.bounds[1:][copied] - 1
         reach = np.maximum(np.maximum.accumulate(preceding), np.maximum.accumulate(following))
         return np.maximum(reach - np.arange(n), 0)
 
 
 def repeated_windows(texts: list[bytes], length: int) -> list[np.ndarray]:
     """For each text whether the window from each position on occurs elsewhere."""
-    index = RunLengthIndex(texts)
+    counts = Counter(texts)
+    index = RunLengthIndex(list(counts), list(counts.values()))
     long = index.matching_statistics() >= length
-    return [long[a : max(a, b - length)] for a, b in zip(index.bounds[:-1].tolist(), index.bounds[1:].tolist())]
+    flags = {t: long[a : max(a, b - length)] for t, a, b in zip(counts, index.bounds[:-1].tolist(), index.bounds[1:].tolist())}
+    return [flags[t] for t in texts]
 
 
 def _ranges(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -246,10 +257,10 @@ def _ranges(flags: np.ndarray) -> list[tuple[int, int]]:
 
 def _index_batch(length: int):
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out = set()  # copies say the same
         for key_hash, same, flags in zip(rows["hash"], rows["same"], repeated_windows([bytes(x) for x in rows["data"]], length)):
-            out += [(key_hash, same, a, b) for a, b in _ranges(flags)]
-        return pd.DataFrame(out, columns=["hash", "same", "a", "b"]).astype("int64")
+            out.update((key_hash, same, a, b) for a, b in _ranges(flags))
+        return pd.DataFrame(sorted(out), columns=["hash", "same", "a", "b"]).astype("int64")
 
     return one
 
@@ -266,38 +277,38 @@ def with_content(docs: DataFrame) -> DataFrame:
 
 
 def run_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """hash, same, bytes, data of the wanted runs (doc_id, content, hash, same,
-    start, windows, bytes); one row a run, as a repeated row gives its runs again."""
-    lists = wanted.groupBy(F.col("doc_id").alias("__id"), F.col("content").alias("__content")).agg(F.collect_list(F.struct("hash", "same", "start", "windows", "bytes")).alias("__runs"))
+    """hash, same, copy, bytes, data of the wanted runs (doc_id, content, hash, same,
+    copy, start, windows, bytes); one row each, as a repeated row gives its runs again."""
+    lists = wanted.groupBy(F.col("doc_id").alias("__id"), F.col("content").alias("__content")).agg(F.collect_list(F.struct("hash", "same", "copy", "start", "windows", "bytes")).alias("__runs"))
     joined = with_content(docs).join(lists, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("content") == F.col("__content")))
     cut = joined.select(F.col("text").cast("binary").alias("data"), F.explode("__runs").alias("r"))
-    return cut.select("r.hash", "r.same", "r.bytes", F.expr(f"substring(data, r.start + 1, r.windows + {length - 1})").alias("data")).dropDuplicates(["hash", "same"])
+    return cut.select("r.hash", "r.same", "r.copy", "r.bytes", F.expr(f"substring(data, r.start + 1, r.windows + {length - 1})").alias("data")).dropDuplicates(["hash", "same", "copy"])
 
 
 def marks(docs: DataFrame, length: int, batch_bytes: int) -> DataFrame:
     """doc_id, content, and the repeated window ranges [a, b) of each document."""
     runs = stash(document_runs(docs, length), "runs")
+    place = F.struct("doc_id", "content", "start", "windows")
     distinct = stash(
-        runs.groupBy("hash", "same").agg(F.count(F.lit(1)).alias("n"), F.max("looped").alias("looped"), F.min(F.struct("doc_id", "content", "start", "windows")).alias("at")), "distinct"
+        runs.groupBy("hash", "same").agg(F.count(F.lit(1)).alias("n"), F.max("looped").alias("looped"), F.min(place).alias("first"), F.max(place).alias("last")), "distinct"
     )
-    hashes = distinct.groupBy("hash").agg(F.count(F.lit(1)).alias("kinds"), F.max("looped").alias("any"), F.sum(F.col("at.windows") + F.lit(length)).alias("bytes"))
-    met = stash(hashes.where("kinds > 1 or any").select("hash", "bytes"), "met")  # written, so that the join below can split a hash that very many runs share
-    mixed = stash(distinct.join(met, "hash").select("hash", "same", "at.*", "bytes"), "mixed")
-    whole = distinct.where("n > 1").select("hash", "same", F.lit(0).cast("long").alias("a"), F.col("at.windows").cast("long").alias("b"))
+    size = (F.col("first.windows") + F.lit(length)).cast("long") * F.least("n", F.lit(2))
+    hashes = distinct.groupBy("hash").agg(F.sum("n").alias("n"), F.max("looped").alias("any"), F.sum(size).alias("bytes"))
+    met = stash(hashes.where("n > 1 or any").select("hash", "bytes"), "met")  # written, so that the join below can split a hash that very many runs share
+    one, two = F.struct(F.lit(0).alias("copy"), F.col("first").alias("at")), F.struct(F.lit(1).alias("copy"), F.col("last").alias("at"))
+    places = distinct.join(met, "hash").select("hash", "same", "bytes", F.explode(F.when(F.col("n") > 1, F.array(one, two)).otherwise(F.array(one))).alias("p"))
+    mixed = stash(places.select("hash", "same", "p.copy", "p.at.*", "bytes"), "mixed")
     total = mixed.agg(F.sum(F.col("windows") + F.lit(length))).first()[0] or 0
-    found = whole
-    if total:
-        data = stash(run_bytes(docs, mixed, length), "rundata")
-        batches = max(1, -(-int(total) // batch_bytes))
-        crowded = F.col("bytes") > F.lit(4 * batch_bytes)
-        indexed = (
-            data.where(~crowded)
-            .withColumn("batch", F.pmod(F.xxhash64("hash"), F.lit(batches)))
-            .repartition(max(2, batches), "batch")
-            .groupBy("batch")
-            .applyInPandas(_index_batch(length), "hash long, same long, a long, b long")
-        )
-        found = whole.unionByName(indexed).unionByName(_crowded(data.where(crowded), length))
+    batches = max(1, -(-int(total) // batch_bytes))
+    data = stash(run_bytes(docs, mixed, length), "rundata")
+    crowded = F.col("bytes") > F.lit(4 * batch_bytes)
+    found = (
+        data.where(~crowded)
+        .withColumn("batch", F.pmod(F.xxhash64("hash"), F.lit(batches)))
+        .repartition(max(2, batches), "batch")
+        .groupBy("batch")
+        .applyInPandas(_index_batch(length), "hash long, same long, a long, b long")
+    ).unionByName(_crowded(data.where(crowded), length))
     found = stash(found, "found")
     joined = runs.join(found, ["hash", "same"])
     return joined.select("doc_id", "content", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
@@ -313,7 +324,7 @@ def _crowded(data: DataFrame, length: int) -> DataFrame:
 
     windows = stash(data.mapInPandas(rows, "hash long, same long, a long, window binary"), "windows")
     again = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
-    return windows.join(again, "window").select("hash", "same", "a", (F.col("a") + 1).alias("b"))
+    return windows.join(again, "window").select("hash", "same", "a", (F.col("a") + 1).alias("b")).distinct()  # copies say the same
 
 
 def cut_repeats(docs: DataFrame, length: int = 400, batch_bytes: int = 1_000_000) -> DataFrame:
