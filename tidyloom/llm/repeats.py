@@ -171,18 +171,24 @@ class RunLengthIndex:
         group's first suffix, so only groups that are not single are sorted
         again. Separators differ by text, so every suffix becomes single."""
         n = len(self.text)
-        ends = self.bounds[1:] - 1
-        sizes = np.diff(self.bounds)
-        to_end = np.repeat(ends, sizes) - np.arange(n)
-        padded = np.concatenate([self.text, np.zeros(8, np.uint8)])
-        key = np.zeros(n, np.uint64)
-        for k in range(8):
-            key <<= U(8)
-            key |= np.where(to_end >= k, padded[k : n + k], 0).astype(U)
-        text_no = np.where(to_end < 8, np.repeat(np.arange(1, len(sizes) + 1), sizes), 0)
-        order = np.lexsort((text_no, key))
+        key = np.concatenate([self.text, np.zeros(7, np.uint8)]).astype(U)
+        for width in (1, 2, 4):
+            key = key[:-width] << U(8 * width) | key[width:]
+        ends, left = np.broadcast_arrays(self.bounds[1:, None] - 1, np.arange(8))
+        inside = ends - left >= self.bounds[:-1, None]
+        tails = (ends - left)[inside]  # the suffixes whose eight symbols hold their separator
+        key[tails] &= np.array([0, *(~U(0) << U(8 * (8 - k)) for k in range(1, 8))], U)[left[inside]]
+        text_no = np.zeros(n, np.int64)
+        text_no[tails] = ends[inside] + 1
+        order = np.argsort(key)
+        at = np.flatnonzero(text_no[order])
+        tails = order[at]
+        order[at] = tails[np.lexsort((text_no[tails], key[tails]))]
+        key = key[order]
+        new = key[1:] != key[:-1]
+        new[at[at > 0] - 1] = True
         rank = np.empty(n, np.int64)
-        rank[order] = self._heads((key[order][1:] != key[order][:-1]) | (text_no[order][1:] != text_no[order][:-1]), n)
+        rank[order] = self._heads(new, n)
         width = 8
         open_ = order[self._shared(rank[order])]
         while len(open_):
