@@ -70,3 +70,23 @@ def test_stage_drops_edited_copies(spark, rows):
     kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "")
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(expected(rows).values()))
+
+
+def test_no_task_holds_a_group(spark, rows, monkeypatch):
+    """Whatever texts a passage ties together, tasks that get them by key get few."""
+    from pyspark.sql import GroupedData
+
+    apply = GroupedData.applyInArrow
+
+    def bounded(self, function, schema):
+        def checked(key, group):
+            assert group.num_rows <= 50
+            return function(key, group)
+
+        return apply(self, checked, schema)
+
+    monkeypatch.setattr(similar, "BLOCK", 8, raising=False)
+    monkeypatch.setattr(GroupedData, "applyInArrow", bounded)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = similar.similar_documents(docs, crowd=3).collect()
+    assert {r.doc_id: r.component_id for r in got} == expected(rows)

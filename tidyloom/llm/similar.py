@@ -10,10 +10,10 @@ each shares one of its first size - ceil(similarity * size) + 1 with the other's
 together. Pairs of a shared shingle must be near in size and in a sketch, the
 parities of 1,024 buckets (of long texts 8,192 too): two sets differ in at least as many shingles as their
 sketches in bits. A shingle that more than ``crowd`` texts have in front gives
-no pairs but ties its texts together. The sets of texts that pairs and ties
-connect meet in one task, which verifies pairs on the full sets and passes over
-pairs that are connected already, so that a large group of copies costs a
-comparison a text.
+pairs with its first text only; its other texts are compared by sketch, block by
+block, once these are verified, and only those that aren't connected yet.
+Pairs are verified one by one on the full sets. No task holds a group: pairs,
+blocks and texts go out by key, so a group of any size takes no more memory.
 
 Texts without words (or null) are equal to each other. Texts are compared once,
 however many rows hold them; a component's id is the smallest doc_id in it.
@@ -29,11 +29,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidyloom.llm._shared import lean, release, stash
+from tidyloom.llm._shared import discard, lean, release, stash
 from tidyloom.llm.simhash import BROADCAST_ROWS, components, hashes, keep_first
 
 SKETCH_BITS, WIDE_BITS = 1_024, 8_192
 LONG = 600  # shingles from which the short sketch says little
+BLOCK = 2_000  # texts of a crowded shingle that a task compares with as many others
+PARTNERS = 4  # a text in a block, at first
+SETS_KEPT = 64  # by a task that verifies pairs
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -94,8 +97,8 @@ def described(texts: DataFrame, width: int, similarity: float) -> DataFrame:
 
 
 def met(entries: DataFrame, similarity: float, crowd: int) -> DataFrame:
-    """entries: shingle, node, size. Pairs a < b that a shingle brings together,
-    and ties (tie is true) of the texts of a crowded one."""
+    """entries: shingle, node, size. Pairs a < b that a shingle brings together;
+    of a crowded one (tie is true, key is the shingle) each text b with the first, a."""
 
     def pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((node, key))
@@ -105,8 +108,7 @@ def met(entries: DataFrame, similarity: float, crowd: int) -> DataFrame:
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         lengths = np.diff(np.r_[starts, len(key)])
         first, many = np.repeat(node[starts], lengths), np.repeat(lengths > crowd, lengths)
-        tied = many & (first != node)
-        yield batch_of(first[tied], node[tied], True)
+        yield batch_of(first[many], node[many], True, key[many])
         few = ~many & np.repeat(lengths > 1, lengths)
         key, node, size = key[few], node[few], size[few]
         for step in range(1, crowd):
@@ -115,10 +117,10 @@ def met(entries: DataFrame, similarity: float, crowd: int) -> DataFrame:
                 break
             small, large = np.minimum(size[step:], size[:-step]), np.maximum(size[step:], size[:-step])
             near = same & (small >= similarity * large - 1e-6)
-            yield batch_of(node[:-step][near], node[step:][near], False)
+            yield batch_of(node[:-step][near], node[step:][near], False, np.zeros(int(near.sum()), np.int64))
 
-    def batch_of(a: np.ndarray, b: np.ndarray, tie: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "tie": pa.array(np.full(len(a), tie))})
+    def batch_of(a: np.ndarray, b: np.ndarray, tie: bool, key: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "tie": pa.array(np.full(len(a), tie)), "key": pa.array(key, pa.int64())})
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []  # rows of the shingle that goes on in the next batch
@@ -135,7 +137,7 @@ def met(entries: DataFrame, similarity: float, crowd: int) -> DataFrame:
         if held:
             yield from pairs(*(np.concatenate(x) for x in zip(*held)))
 
-    return entries.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(rows, "a long, b long, tie boolean").distinct()
+    return entries.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(rows, "a long, b long, tie boolean, key long").distinct()
 
 
 def close_sketches(found: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -151,66 +153,94 @@ def close_sketches(found: DataFrame, texts: DataFrame, similarity: float) -> Dat
     return near.where(F.col("least") <= LONG).select("a", "b").unionByName(close(near.where(F.col("least") > LONG).select("a", "b"), "wide").select("a", "b"))
 
 
-def links(nodes: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """A spanning forest of the links among distinct texts, of whose sets only
-    the local prefixes (rarest first) are indexed."""
-    nodes, once = np.unique(nodes, return_index=True)
-    sets = [sets[i] for i in once]
-    values, ids, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(values), np.int64)
-    rank[np.lexsort((values, counts))] = np.arange(len(values))
-    sizes = np.array([len(s) for s in sets])
-    ends = np.cumsum(sizes)
-    ranked = [np.sort(rank[ids[e - n : e]]) for e, n in zip(ends, sizes)]
-    roots, index, out = np.arange(len(nodes)), {}, []
-    mark = np.zeros(len(values), bool)
-    for i in np.lexsort((nodes, sizes)).tolist():
-        own = ranked[i]
-        head = own[: front(len(own), similarity)].tolist()
-        before = [index[r] for r in head if r in index]
-        if before:
-            found, times = np.unique(np.concatenate([np.array(x) for x in before]), return_counts=True)
-            found = found[np.argsort(-times, kind="stable")]
-            found = found[sizes[found] >= similarity * len(own) - 1e-6]
-            mark[own] = True
-            while len(found):
-                j, found = int(found[0]), found[1:]
-                both = int(np.count_nonzero(mark[ranked[j]]))
-                if both >= similarity * (len(own) + len(ranked[j]) - both) - 1e-9:
-                    out.append((int(nodes[i]), int(nodes[j])))
-                    roots[roots == roots[j]] = roots[i]
-                    found = found[roots[found] != roots[i]]
-            mark[own] = False
-        for r in head:
-            index.setdefault(r, []).append(i)
-    return out
+def block_pairs(crowded: DataFrame, roots: DataFrame, own: DataFrame, similarity: float, partners: int) -> DataFrame:
+    """crowded: key, node. Pairs a < b of texts that a key brings together, that
+    aren't connected and whose sketches are near; each text in a block meets its
+    first ``partners`` at most, and a row without a and b says that it had more.
+    Keys with the same texts count once, those whose texts are connected not at all."""
+    placed = crowded.join(roots.withColumnRenamed("node", "id"), F.col("node") == F.col("id"), "left_outer").select("key", "node", F.coalesce("root", "node").alias("root"))
+    keys = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("least"), F.max("root").alias("most"), *[F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"digest_{i}") for i in range(2)])
+    keys = keys.where("least < most").groupBy("n", "digest_0", "digest_1").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    dealt = placed.join(keys, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.join(own.select("node", "size", "sketch"), "node").select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "size", "sketch")
+
+    def pairs(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.sort_by("node")
+        node, root, size, side = (group[c].to_numpy() for c in ("node", "root", "size", "own"))
+        bits = group["sketch"].combine_chunks().flatten().to_numpy().reshape(len(node), -1).view(np.uint64)
+        across, share, a, b, more = key[1].as_py() != key[2].as_py(), (1 - similarity) / (1 + similarity), [], [], False
+        for x in range(1, len(node)):
+            meets = np.flatnonzero((root[:x] != root[x]) & (np.minimum(size[:x], size[x]) >= similarity * np.maximum(size[:x], size[x]) - 1e-6) & ((side[:x] != side[x]) | (not across)))
+            differing = np.bitwise_count(bits[meets] ^ bits[x]).sum(1, dtype=np.int64)
+            meets = meets[differing <= (size[meets].astype(np.int64) + size[x]) * share + 1e-6]
+            more |= len(meets) > partners
+            a += node[meets[:partners]].tolist()
+            b += [int(node[x])] * min(len(meets), partners)
+        return pa.table({"a": pa.array([*a, *[None] * more], pa.int64()), "b": pa.array([*b, *[None] * more], pa.int64())})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(pairs, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of the pairs a, b that are similar. texts: node, text, each once."""
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+
+        def shingles(node: int, batch: pa.RecordBatch, column: str, i: int) -> np.ndarray:
+            if node not in held:
+                if len(held) >= SETS_KEPT:
+                    held.clear()
+                held[node] = shingle_set(batch[column][i].as_py(), width)
+            return held[node]
+
+        for batch in batches:
+            a, b = batch["a"].to_pylist(), batch["b"].to_pylist()
+            fit = []
+            for i in range(len(a)):
+                one, two = shingles(a[i], batch, "text_a", i), shingles(b[i], batch, "text_b", i)
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                fit.append(both >= similarity * (len(one) + len(two) - both) - 1e-9)
+            yield pa.RecordBatch.from_pydict({c: batch[c].filter(pa.array(fit, pa.bool_())) for c in "ab"})
+
+    one, two = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    return lean(pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")).mapInArrow(rows, "a long, b long")
 
 
 def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, crowd: int = 50) -> DataFrame:
     """doc_id, component_id for every row."""
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("node"))
     rows = stash(described(texts, width, similarity), "shingled")
-    found = stash(met(rows.select("node", "size", F.explode("front").alias("shingle")), similarity, crowd), "met")
     own = rows.select("node", "size", "sketch", "wide").dropDuplicates(["node"])
-    near = close_sketches(found.where("not tie").select("a", "b"), own, similarity).unionByName(found.where("tie").select("a", "b"))
-    groups = stash(components(near), "candidates")
-    asked = groups.select(F.col("node").alias("id"), F.col("root").alias("group")).unionByName(groups.select(F.col("root").alias("id"), F.col("root").alias("group")).distinct())
-    asked = stash(asked.distinct(), "asked")
+    found = stash(met(rows.select("node", "size", F.explode("front").alias("shingle")), similarity, crowd), "met")
+    near = stash(close_sketches(found.where("a < b").select("a", "b").distinct(), own, similarity), "close")
+    crowded = found.where("tie").select("key", F.col("b").alias("node"))
+    asked = stash(near.select(F.col("a").alias("id")).union(near.select("b")).union(crowded.select("node")).distinct(), "asked")
     few = asked.count() <= BROADCAST_ROWS
+    whole = texts.join(F.broadcast(asked) if few else asked, F.col("node") == F.col("id")).select("node", "text")
+    whole = stash(whole.dropDuplicates(["node"]), "compared")
+
+    links = stash(verified(near, whole, width, similarity), "similar")
+    roots = components(links)
+
+    def settle(pairs: DataFrame) -> None:
+        """Verify the pairs and take in what is similar."""
+        nonlocal links, roots
+        new = stash(verified(pairs, whole, width, similarity), "similar")
+        if not new.isEmpty():
+            links, before = links.unionByName(new), roots
+            roots = components(links)
+            discard(before)
+
+    partners = PARTNERS
+    while not crowded.isEmpty():
+        left = stash(block_pairs(crowded, roots, own, similarity, partners), "left")
+        settle(close_sketches(left.where("a is not null"), own, similarity))
+        if left.where("a is null").isEmpty():
+            break
+        partners *= 16
 
-    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = pa.array([shingle_set(t, width) for t in batch["text"].to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_pydict({"group": batch["group"], "node": batch["node"], "shingles": found})
-
-    def verify(key: tuple, group: pa.Table) -> pa.Table:
-        nodes, column = group["node"].to_numpy(), group["shingles"].combine_chunks()
-        out = links(nodes, [column[i].values.to_numpy() for i in range(len(nodes))], similarity)
-        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
-
-    whole = lean(texts.join(F.broadcast(asked) if few else asked, F.col("node") == F.col("id")).select("group", "node", "text"))
-    verified = whole.mapInArrow(sets, "group long, node long, shingles array<long>").groupBy("group").applyInArrow(verify, "a long, b long")
-    roots = components(verified)
     distinct = rows.groupBy("node").agg(F.min("doc_id").alias("first"))
     linked = distinct.join(roots.withColumnRenamed("node", "id"), F.col("node") == F.col("id"), "left_outer").select("node", "first", F.coalesce("root", "node").alias("root"))
     ids = linked.groupBy("root").agg(F.min("first").alias("component_id"))
