@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from tidyloom.llm import similar
+from tidyloom.llm import simhash, similar
 
 POOL = [f"w{i}" for i in range(400)]
 
@@ -90,3 +90,27 @@ def test_no_task_holds_a_group(spark, rows, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = similar.similar_documents(docs, crowd=3).collect()
     assert {r.doc_id: r.component_id for r in got} == expected(rows)
+
+
+def test_stage_gets_links_from_the_fingerprint_index(spark, rows, monkeypatch):
+    """SimHash connects what three bits allow; the prefixes add the rest."""
+    asked, index = [], simhash.candidates
+    monkeypatch.setattr(simhash, "candidates", lambda distinct, *a: asked.append(distinct.count()) or index(distinct, *a))
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(expected(rows).values()))
+    prints = {i: simhash.fingerprint(t, 5) & (1 << 64) - 1 for i, t in rows}
+    assert asked == [len(set(prints.values()))]
+
+    described = similar.described(docs.select("doc_id", "text", docs.doc_id.alias("node")), 5, 0.8)
+    got = {(r.a, r.b) for r in similar.fingerprint_pairs(described).collect()}
+    close = {(i, j) for i in prints for j in prints if i < j and (prints[i] ^ prints[j]).bit_count() <= 3}
+    assert got and connected(got) == connected(close)
+
+
+def connected(pairs):
+    root = {}
+    for a, b in sorted(pairs):
+        one, two = root.setdefault(a, a), root.setdefault(b, b)
+        root.update({k: min(one, two) for k, v in root.items() if v in (one, two)})
+    return root

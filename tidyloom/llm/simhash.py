@@ -73,7 +73,11 @@ def _hashes(words: list[bytes], width: int) -> np.ndarray:
 
 def fingerprint(text: str | None, width: int = 3) -> int:
     """Signed, as Spark's long."""
-    h = hashes(text, width) if isinstance(text, str) else ()
+    return majority(hashes(text, width) if isinstance(text, str) else ())
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of shingles' hashes."""
     if not len(h):
         return 0
     ones = np.zeros(64, np.int64)

@@ -4,6 +4,12 @@ Two texts are linked if their sets of shingles of ``width`` words (see
 ``simhash.hashes``) have a Jaccard similarity of ``similarity`` or more;
 components of linked texts come out whole. No link is missed:
 
+SimHash comes first: fingerprints of the same shingles go through the index of
+deletion variants (``simhash.candidates``), and what it links at three bits is
+verified on the full sets. Similar texts can differ in more bits than any index
+over 64 has keys for, so the rest come by a prefix filter, and pairs that
+SimHash has connected are passed over there.
+
 Shingles are ordered, those that a sample finds common last. Of two similar sets
 each shares one of its first size - ceil(similarity * size) + 1 with the other's
 (prefix filter), whatever the order, so an equality on these brings all pairs
@@ -29,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidyloom.llm import simhash
 from tidyloom.llm._shared import discard, lean, release, stash
 from tidyloom.llm.simhash import BROADCAST_ROWS, components, hashes, keep_first
 
@@ -41,7 +48,10 @@ SETS_KEPT = 64  # by a task that verifies pairs
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Ascending, signed as Spark's long."""
-    found = hashes(text, width) if isinstance(text, str) else ()
+    return set_of(hashes(text, width) if isinstance(text, str) else ())
+
+
+def set_of(found: np.ndarray) -> np.ndarray:
     return np.unique(found.view(np.int64)) if len(found) else np.zeros(1, np.int64)
 
 
@@ -73,9 +83,9 @@ def common_shingles(texts: DataFrame, width: int, sampled: int = 40_000, kept: i
 
 
 def described(texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """doc_id, node (the text), size, sketch, wide (of long texts) and the front of the ordered set."""
+    """doc_id, node (the text), its fingerprint, size, sketch, wide (of long texts) and the front of the ordered set."""
     shared = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, width))
-    own = {"size": pa.int32(), "sketch": pa.list_(pa.int64()), "wide": pa.list_(pa.int64()), "front": pa.list_(pa.int64())}
+    own = {"fp": pa.int64(), "size": pa.int32(), "sketch": pa.list_(pa.int64()), "wide": pa.list_(pa.int64()), "front": pa.list_(pa.int64())}
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -83,17 +93,18 @@ def described(texts: DataFrame, width: int, similarity: float) -> DataFrame:
         for batch in batches:
             out = []
             for text in batch["text"].to_pylist():
-                s = shingle_set(text, width)
+                found = hashes(text, width) if isinstance(text, str) else ()
+                s = set_of(found)
                 ranks = np.zeros(len(s), np.int64)
                 if len(common):
                     at = np.minimum(np.searchsorted(common, s), len(common) - 1)
                     ranks = np.where(common[at] == s, counts[at], 0)
-                out.append((len(s), sketch(s, SKETCH_BITS), sketch(s, WIDE_BITS) if len(s) > LONG else None, s[np.lexsort((s, ranks))[: front(len(s), similarity)]]))
+                out.append((simhash.majority(found), len(s), sketch(s, SKETCH_BITS), sketch(s, WIDE_BITS) if len(s) > LONG else None, s[np.lexsort((s, ranks))[: front(len(s), similarity)]]))
             columns = {c: pa.array([r[i] for r in out], k) for i, (c, k) in enumerate(own.items())}
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "node": batch["node"]} | columns)
 
     kind = dict(texts.dtypes)["doc_id"]
-    return lean(texts).mapInArrow(rows, f"doc_id {kind}, node long, size int, sketch array<long>, wide array<long>, front array<long>")
+    return lean(texts).mapInArrow(rows, f"doc_id {kind}, node long, fp long, size int, sketch array<long>, wide array<long>, front array<long>")
 
 
 def met(entries: DataFrame, similarity: float, crowd: int) -> DataFrame:
@@ -153,6 +164,17 @@ def close_sketches(found: DataFrame, texts: DataFrame, similarity: float) -> Dat
     return near.where(F.col("least") <= LONG).select("a", "b").unionByName(close(near.where(F.col("least") > LONG).select("a", "b"), "wide").select("a", "b"))
 
 
+def fingerprint_pairs(rows: DataFrame) -> DataFrame:
+    """a < b: a spanning forest of the texts whose fingerprints differ in three
+    bits or fewer."""
+    texts = stash(rows.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
+    linked = simhash.verified_links(simhash.candidates(texts.select("fp")), 3).distinct()
+    one, two = (texts.select(F.col("fp").alias(x), F.col("first").alias(f"node_{x}")) for x in "ab")
+    between = linked.join(one, "a").join(two, "b").select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    equal = rows.join(texts, "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return between.unionByName(equal).where("a < b").distinct()
+
+
 def block_pairs(crowded: DataFrame, roots: DataFrame, own: DataFrame, similarity: float, partners: int) -> DataFrame:
     """crowded: key, node. Pairs a < b of texts that a key brings together, that
     aren't connected and whose sketches are near; each text in a block meets its
@@ -213,15 +235,17 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("node"))
     rows = stash(described(texts, width, similarity), "shingled")
     own = rows.select("node", "size", "sketch", "wide").dropDuplicates(["node"])
+    hashed = stash(fingerprint_pairs(rows), "hashed")
     found = stash(met(rows.select("node", "size", F.explode("front").alias("shingle")), similarity, crowd), "met")
     near = stash(close_sketches(found.where("a < b").select("a", "b").distinct(), own, similarity), "close")
     crowded = found.where("tie").select("key", F.col("b").alias("node"))
-    asked = stash(near.select(F.col("a").alias("id")).union(near.select("b")).union(crowded.select("node")).distinct(), "asked")
+    pairs = hashed.unionByName(near)
+    asked = stash(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(crowded.select("node")).distinct(), "asked")
     few = asked.count() <= BROADCAST_ROWS
     whole = texts.join(F.broadcast(asked) if few else asked, F.col("node") == F.col("id")).select("node", "text")
     whole = stash(whole.dropDuplicates(["node"]), "compared")
 
-    links = stash(verified(near, whole, width, similarity), "similar")
+    links = stash(verified(hashed, whole, width, similarity), "similar")
     roots = components(links)
 
     def settle(pairs: DataFrame) -> None:
@@ -233,6 +257,9 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
             roots = components(links)
             discard(before)
 
+    one, two = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+    apart = near.join(one, "a", "left_outer").join(two, "b", "left_outer").where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
+    settle(apart)
     partners = PARTNERS
     while not crowded.isEmpty():
         left = stash(block_pairs(crowded, roots, own, similarity, partners), "left")
