@@ -291,6 +291,15 @@ def test_repeats_of_repeated_rows(spark):
     assert sorted((r.n_removed, r.n_spans) for r in repeats.cut_repeats(twice, 50).collect()) == [(0, 0), (60, 1), (60, 1)]
 
 
+def test_400_bytes_decide(spark, tmp_path):
+    """The query counts bytes, not words: 80 shared words of 399 bytes stay, 400 bytes go."""
+    stays, goes = " ".join(f"s{i:03d}" for i in range(80)), " ".join(f"g{i:03d}" for i in range(80)) + "!"
+    texts = {1: f"a{stays}b", 2: f"c{stays}d", 3: f"a{goes}b", 4: f"c{goes}d"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.text) for r in queries.op6_repeat_removal(spark, str(tmp_path)).collect()}
+    assert got == {1: (401, 0, 0, texts[1]), 2: (401, 0, 0, texts[2]), 3: (402, 400, 1, "ab"), 4: (402, 400, 1, "cd")}
+
+
 def test_run_length_index():
     rng = random.Random(8)
     for _ in range(100):
